@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, sharding
+from . import bpe, decontaminate, exact_dedup, sharding, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op5_bpe": bpe.op5_bpe,
     "op6_sharding": sharding.op6_sharding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, sharding, token_counts
+from . import bpe, decontaminate, exact_dedup, pii, quality, sharding, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_quality": quality.op3_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_sharding": sharding.op6_sharding,
+    "op7_pii": pii.op7_pii,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 SQL = {"op1_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}

@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -144,7 +145,7 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame
             found = model.score([t.as_py() or "" for t in texts])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    schema = docs.schema.add(name, "double") if name not in docs.columns else docs.schema
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

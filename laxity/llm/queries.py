@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, pii, quality, sharding, token_counts
+from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, sharding, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_pii": pii.op7_pii,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 SQL = {"op1_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}

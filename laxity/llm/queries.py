@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, sharding, token_counts
+from . import bpe, chat, decontaminate, exact_dedup, ngram_join, pii, quality, sharding, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_quality": quality.op3_quality,
+    "op4_chat": chat.op4_chat,
     "op5_bpe": bpe.op5_bpe,
     "op6_sharding": sharding.op6_sharding,
     "op7_pii": pii.op7_pii,

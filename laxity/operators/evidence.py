@@ -7,16 +7,21 @@ then has equal keys, works in pieces of bounded size on all executors and broadc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import clean, level
-from ..spec import Attribute, usable
+from ..spec import NUMBER, Attribute, usable
+from ..work import materialised
 
 #: Tuples in a block: a block pair makes the square of it at most.
 BLOCK_TUPLES = 2000
+#: Distinct strings up to which levels come from a table.
+CODES = 128
 
 
 def names(attributes: Sequence[Attribute]) -> list[str]:
@@ -57,8 +62,39 @@ def _pairs(rows: DataFrame, blocks: int, order: Sequence[str], place: Column) ->
     return a.join(b.hint("shuffle_hash"), (F.col("lo") == F.col("lo2")) & (F.col("hi") == F.col("hi2")) & once).select("a", "b")
 
 
-def _levels(attributes: Sequence[Attribute]) -> list[Column]:
-    return [level(F.col(f"a.{x.name}"), F.col(f"b.{x.name}"), x).alias(f"lv_{x.name}") for x in attributes]
+def coded(rows: DataFrame, attributes: Sequence[Attribute]) -> tuple[DataFrame, list[Column]]:
+    """rows with values that compare fast, and the levels of a pair a, b of them.
+
+    Numbers that keep to their column's digits become whole numbers, so that no pair is rounded; strings of at most CODES distinct values become
+    codes, with the levels of all pairs of values worked out once in a table of CODES ** 2 entries at most. Others are compared as they are."""
+    checks = []
+    for i, x in enumerate(attributes):
+        if x.kind == NUMBER:
+            scaled = F.col(x.name) * 10.0**x.digits
+            checks.append(F.min(((F.abs(scaled - F.round(scaled)) < 1e-6) & (F.abs(scaled) < 2.0**50)).cast("int")).alias(f"k{i}"))
+        else:
+            checks.append(F.approx_count_distinct(x.name).alias(f"k{i}"))
+    seen, levels = rows.agg(*checks).first(), []
+    for i, x in enumerate(attributes):
+        a, b = F.col(f"a.{x.name}"), F.col(f"b.{x.name}")
+        if x.kind == NUMBER and seen[f"k{i}"] == 1:
+            rows = rows.withColumn(x.name, F.round(F.col(x.name) * 10.0**x.digits).cast("long"))
+            hits = [(F.abs(a - b) <= math.floor(t * 10.0**x.digits + 1e-6)).cast("int") for t in x.thresholds]
+            found = reduce(lambda p, q: p + q, hits).cast("byte")
+        elif x.kind != NUMBER and seen[f"k{i}"] <= CODES:
+            values = rows.select(x.name).distinct().limit(2 * CODES + 1)
+            texts = sorted(r[0] for r in values.collect())  # at most 2 * CODES + 1
+            found = level(a, b, x)
+            if 0 < len(texts) <= 2 * CODES:
+                lit = F.array(*[F.lit(t) for t in texts])
+                each = rows.sparkSession.range(1).select(F.explode(lit).alias("u"), lit.alias("all")).select(F.transform("all", lambda v: level(F.col("u"), v, x).cast("int")).alias("l"), F.array_position("all", F.col("u")).alias("i"))
+                table = [n for r in sorted(each.collect(), key=lambda r: r["i"]) for n in r["l"]]
+                rows = rows.withColumn(x.name, (F.array_position(lit, F.col(x.name)) - 1).cast("int"))
+                found = F.element_at(F.expr(f"array({','.join(map(str, table))})"), a * len(texts) + b + 1).cast("byte")
+        else:
+            found = level(a, b, x)
+        levels.append(found.alias(f"lv_{x.name}"))
+    return rows, levels
 
 
 def merge(parts: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
@@ -69,13 +105,12 @@ def merge(parts: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
 def evidence(df: DataFrame, attributes: Sequence[Attribute], block: int = BLOCK_TUPLES) -> DataFrame:
     """lv_<attribute> for each attribute with thresholds, cnt."""
     attributes = usable(attributes)
-    from ..work import materialised
-
     rows = materialised(tuples(df, attributes))
     blocks = _blocks(rows.count(), block)
     cols = [a.name for a in attributes]
     place = F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
-    cross = _pairs(rows, blocks, cols, place).select(*_levels(attributes), (F.col("a.m") * F.col("b.m")).alias("cnt"))
+    fast, levels = coded(rows, attributes)
+    cross = _pairs(fast, blocks, cols, place).select(*levels, (F.col("a.m") * F.col("b.m")).alias("cnt"))
     own = rows.where("m > 1").select(*[F.lit(a.levels).cast("byte").alias(f"lv_{a.name}") for a in attributes], F.expr("m * (m - 1) div 2").alias("cnt"))
     return merge(cross.unionByName(own), attributes)
 
@@ -85,7 +120,8 @@ def evidence_by_row(df: DataFrame, attributes: Sequence[Attribute], key: str) ->
     attributes = usable(attributes)
     rows = df.select(F.col(key).alias("_key"), *[clean(F.col(a.name), a).alias(a.name) for a in attributes])
     blocks = _blocks(df.count(), BLOCK_TUPLES)
-    return merge(_pairs(rows, blocks, ["_key"], F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")).select(*_levels(attributes), F.lit(1).cast("long").alias("cnt")), attributes)
+    rows, levels = coded(rows, attributes)
+    return merge(_pairs(rows, blocks, ["_key"], F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")).select(*levels, F.lit(1).cast("long").alias("cnt")), attributes)
 
 
 def evidence_blocked(df: DataFrame, attributes: Sequence[Attribute], key: str, shard: int = 10_000) -> DataFrame:
@@ -93,8 +129,9 @@ def evidence_blocked(df: DataFrame, attributes: Sequence[Attribute], key: str, s
     attributes = usable(attributes)
     rows = df.select(F.col(key).alias("_key"), *[clean(F.col(a.name), a).alias(a.name) for a in attributes])
     shards = max(1, -(-df.count() // shard))
+    rows, levels = coded(rows, attributes)
     pairs = _pairs(rows, shards, ["_key"], F.pmod(F.xxhash64("_key"), F.lit(shards)).cast("int"))
-    return merge(pairs.select(*_levels(attributes), F.lit(1).cast("long").alias("cnt")), attributes)
+    return merge(pairs.select(*levels, F.lit(1).cast("long").alias("cnt")), attributes)
 
 
 def evidence_added(old: DataFrame, new: DataFrame, attributes: Sequence[Attribute], block: int = BLOCK_TUPLES) -> DataFrame:
@@ -105,7 +142,7 @@ def evidence_added(old: DataFrame, new: DataFrame, attributes: Sequence[Attribut
     blocks = F.sequence(F.lit(0), F.lit(7))
     left = a.select(F.struct(*a.columns).alias("a"), F.pmod(F.xxhash64(*[x.name for x in attributes]), F.lit(8)).alias("_k"))
     right = b.select(F.struct(*b.columns).alias("b"), F.explode(blocks).alias("_j"))
-    both = left.join(right, F.col("_k") == F.col("_j")).select(*_levels(attributes), (F.col("a.m") * F.col("b.m")).alias("cnt"))
+    both = left.join(right, F.col("_k") == F.col("_j")).select(*[level(F.col(f"a.{x.name}"), F.col(f"b.{x.name}"), x).alias(f"lv_{x.name}") for x in attributes], (F.col("a.m") * F.col("b.m")).alias("cnt"))
     return merge(both.unionByName(evidence(new, attributes, block)), attributes)
 
 

@@ -91,25 +91,30 @@ def _hits(docs: DataFrame, length: int, found: DataFrame, small: bool) -> DataFr
     prints = found.select(F.col("chosen").alias("_print")).distinct().withColumn("_hit", F.lit(True))
     keys = found.select("key", "items")
     n = F.size("words").alias("n_words")
-    rows = chosen(docs, length).select("did", "th", "words", n, "chosen", F.posexplode_outer("chosen").alias("pos", "value"))
-    rows = rows.where("pos is null or pos = 0 or value <> chosen[pos - 1] or pos %% %d = 0" % reach)
-    run = F.expr(f"filter(sequence(pos, least(pos + {reach} - 1, size(chosen) - 1)), j -> chosen[j] = value and (j = pos or j % {reach} <> 0))")
-    span = F.slice("words", F.coalesce("pos", F.lit(0)) + 1, length + reach - 1)
+    rows = chosen(docs, length)
+    one = lambda start: ((at == 0) & (F.coalesce(start, at) == at)).cast("int").alias("one")
     at = F.coalesce("pos", F.lit(0))
-    one = ((at == 0) & (F.coalesce("start", at) == at)).cast("int").alias("one")
     if small:
+        rows = rows.select("did", "th", "words", n, "chosen", F.posexplode_outer("chosen").alias("pos", "value"))
+        rows = rows.where(f"pos is null or pos = 0 or value <> chosen[pos - 1] or pos % {reach} = 0")
+        run = F.expr(f"filter(sequence(pos, least(pos + {reach} - 1, size(chosen) - 1)), j -> chosen[j] = value and (j = pos or j % {reach} <> 0))")
         rows = rows.join(F.broadcast(prints), F.col("value") == F.col("_print"), "left").where("_hit or pos is null or pos = 0")
-        rows = rows.select("did", "th", "n_words", "pos", span.alias("span"), F.explode_outer(F.when(F.col("_hit"), run)).alias("start"))
+        rows = rows.select("did", "th", "n_words", "pos", F.slice("words", at + 1, length + reach - 1).alias("span"), F.explode_outer(F.when(F.col("_hit"), run)).alias("start"))
         rows = rows.withColumn("_key", F.when(F.col("start").isNotNull(), _key(F.col("start") - F.col("pos"), length, "span")))
         rows = rows.join(F.broadcast(keys), F.col("_key") == F.col("key"), "left")
-    else:  # the spans go along, not the whole texts; a document's first row stands for it whether it hits or not
-        rows = rows.select("did", "th", "n_words", "pos", "value", span.alias("span"), run.alias("run"))
-        hit = rows.join(prints, F.col("value") == F.col("_print"), "left_semi")
-        hit = hit.select("did", "th", "n_words", "pos", F.explode("run").alias("start"), "span").withColumn("_key", _key(F.col("start") - F.col("pos"), length, "span"))
-        hit = hit.join(keys, F.col("_key") == F.col("key")).select("did", "th", "n_words", F.lit(0).alias("one"), "start", "items")
-        base = docs.select("did", "th", n, F.lit(1).alias("one"), F.lit(None).cast("int").alias("start"), F.lit(None).cast(keys.schema["items"].dataType).alias("items"))
-        return base.unionByName(hit).withColumn("len", F.lit(length))
-    return rows.select("did", "th", "n_words", one, F.when(F.col("key").isNotNull(), F.col("start")).alias("start"), "items").withColumn("len", F.lit(length))
+        return rows.select("did", "th", "n_words", one(F.col("start")), F.when(F.col("key").isNotNull(), F.col("start")).alias("start"), "items").withColumn("len", F.lit(length))
+    # The spans of the fingerprints go along, not the whole texts, and are cut before rows are made of them.
+    prints_of = F.expr(
+        f"transform(filter(sequence(0, size(chosen) - 1), i -> size(chosen) > 0 and i >= 0 and (i = 0 or chosen[i] <> chosen[greatest(i - 1, 0)] or i % {reach} = 0)),"
+        f" i -> named_struct('pos', i, 'value', chosen[i], 'near', slice(chosen, i + 1, {reach}), 'span', slice(words, i + 1, {length + reach - 1})))"
+    )
+    each = rows.where(F.size("words") >= length).select("did", "th", n, F.explode_outer(prints_of).alias("p")).select("did", "th", "n_words", "p.*")
+    hit = each.join(prints, F.col("value") == F.col("_print"), "left_semi")
+    run = F.expr(f"transform(filter(sequence(0, size(near) - 1), j -> near[j] = value and (j = 0 or (pos + j) % {reach} <> 0)), j -> pos + j)")
+    hit = hit.select("did", "th", "n_words", "pos", "span", F.explode(run).alias("start")).withColumn("_key", _key(F.col("start") - F.col("pos"), length, "span"))
+    hit = hit.join(keys, F.col("_key") == F.col("key")).select("did", "th", "n_words", F.lit(0).alias("one"), "start", "items")
+    base = docs.select("did", "th", n, F.lit(1).alias("one"), F.lit(None).cast("int").alias("start"), F.lit(None).cast(keys.schema["items"].dataType).alias("items"))
+    return base.unionByName(hit).withColumn("len", F.lit(length))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, small: int = SMALL) -> DataFrame:

@@ -144,7 +144,7 @@ def separate(evidence: DataFrame, attributes: Sequence[Attribute], error: float,
             tight[axis], loose[axis] = slice(1, None), slice(None, -1)
             best[tuple(tight)] &= ~ok[tuple(loose)]
         where = np.argwhere(best)
-        out = {"rhs": [key[0]] * len(where)}
+        out = {"rhs": np.array([key[0]] * len(where), dtype=object)}
         others = [c for c in cols if c != key[0]]
         for c in cols:
             out[f"x_{c}"] = where[:, others.index(c)] if c != key[0] else np.zeros(len(where), int)

@@ -59,15 +59,3 @@ def clean(column: Column, attribute: Attribute) -> Column:
     if attribute.kind == NUMBER:
         return F.coalesce(column.cast("double"), F.lit(0.0))
     return F.coalesce(column.cast("string"), F.lit(""))
-
-
-def segments(s: Column, count: int) -> Column:
-    """s cut into `count` even parts, the longer ones last: array of (part, start from 1, text)."""
-    base, more = F.expr(f"div(length({_name(s)}), {count})"), F.expr(f"length({_name(s)}) % {count}")
-    size = lambda i: base + (i >= F.lit(count) - more).cast("int")
-    start = lambda i: i * base + F.greatest(F.lit(0), i - (F.lit(count) - more)) + 1
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.alias("part"), start(i).cast("int").alias("start"), F.substring(s, start(i).cast("int"), size(i).cast("int")).alias("text")))
-
-
-def _name(s: Column) -> str:
-    return s._jc.toString()

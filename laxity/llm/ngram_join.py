@@ -9,10 +9,10 @@ shingles among the first n - ceil(t n) + c of each.
 The boundary is the one of least cost: subsets written against entries written and scanned, by the histogram of small
 sizes and the mean length of the lists.
 
-Within a list or subset, pairs are filtered in blocks with bit vectors that bound the overlap from above; no list is expanded
-into all its pairs. Round one passes on a spanning forest of the pairs that remain, round two every remaining pair between
-different components. All that is passed on is verified exactly on the whole sets, and the components of the links are the result: a
-pair that is not verified is either certainly no link or already connected.
+Within a list or subset - in pairs of blocks of about BLOCK members where it is long - bit vectors bound the overlap of two sets from above;
+pairs that pass tie sets into clusters, and only a spanning forest of them leaves a task, so that no list is expanded into its
+pairs. Two linked sets are in one cluster. The whole sets of a cluster meet in one place, again in pairs of blocks, and pairs that are not yet connected are
+verified exactly, the nearest first. What leaves is a spanning forest of verified links; its components are the result.
 
 Defined results: null and empty texts, and those without words, have an empty set, linked with nothing: their component
 is their own doc_id. Fewer than WORDS words make one shingle. Rows that repeat get a row each; equal sets are one class.
@@ -41,7 +41,7 @@ NUMER, DENOM = 4, 5
 SLOTS, PARTS = 1 << 22, 256
 SMALL_MOST = 64
 BITS = 1024
-BLOCK = 512
+BLOCK = 2000
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,10 +78,10 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOM * both >= NUMER * (len(a) + len(b) - both)
 
 
-def bits(s: np.ndarray) -> bytes:
-    flags = np.zeros(BITS, np.uint8)
-    flags[(s >> np.uint64(22)) % np.uint64(BITS)] = 1
-    return np.packbits(flags).tobytes()
+def bits(s: np.ndarray, size: int) -> np.ndarray:
+    flags = np.zeros(size, np.uint8)
+    flags[(s >> np.uint64(22)) % np.uint64(size)] = 1
+    return np.packbits(flags).view(np.uint64)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +93,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = t.as_py() or b""
             s = shingles(text)
             cls = digest(s.tobytes()) if len(s) else None
-            rows.append((cls, len(s), digest(text), bits(s) if len(s) else None))
+            rows.append((cls, len(s), digest(text), bits(s, BITS).tobytes() if len(s) else None))
             if cls and cls not in seen:
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(cls)
-                counts += np.bincount((s % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32) if len(s) > SLOTS // 8 else np.uint32(0)
-                if len(s) <= SLOTS // 8:
-                    np.add.at(counts, (s % np.uint64(SLOTS)).astype(np.int64), 1)
+                np.add.at(counts, (s % np.uint64(SLOTS)).astype(np.int64), 1)
         n = batch.num_rows
         cls, size, th, flags = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(size, pa.int64()), pa.array(th, pa.binary()), pa.array(flags, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -175,98 +173,124 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000], pa.int64()) for x in (s, c, k)], names=["sig", "c1", "k"])
 
 
-def _pairs(everything: bool):
-    """Candidate pairs of each block pair: a spanning forest of those that pass the filter, or all between different components."""
-
-    def of(left: list, right: list, same: bool) -> Iterator[tuple[bytes, bytes]]:
-        vectors = lambda rows: np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
-        x, y = vectors(left), vectors(right)
-        nx, ny = np.array([r[1] for r in left]), np.array([r[1] for r in right])
-        ids = {c: i for i, c in enumerate(dict.fromkeys(r[3] or r[0] for r in [*left, *right]))}
-        cx, cy = np.array([ids[r[3] or r[0]] for r in left]), np.array([ids[r[3] or r[0]] for r in right])
-        found = []
-        for i in range(len(left)):
-            j = np.arange(i + 1 if same else 0, len(right))
-            j = j[(cy[j] != cx[i]) & (DENOM * np.minimum(nx[i], ny[j]) >= NUMER * np.maximum(nx[i], ny[j]))]
-            far = np.bitwise_count(x[i] ^ y[j]).sum(1, dtype=np.int64)
-            ok = (NUMER + DENOM) * far <= (DENOM - NUMER) * (nx[i] + ny[j])
-            found.append((np.full(ok.sum(), i), j[ok], far[ok] / (nx[i] + ny[j][ok])))
-        a, b, far = (np.concatenate(z) for z in zip(*found))
-        if everything:
-            yield from ((left[i][0], right[j][0]) for i, j in zip(a, b))
-            return
-        top, parts = list(range(len(ids))), len(ids)
-
-        def root(i: int) -> int:
-            while top[i] != i:
-                top[i] = top[top[i]]
-                i = top[i]
-            return i
-
-        for k in np.argsort(far, kind="stable"):
-            p, q = root(cx[a[k]]), root(cy[b[k]])
-            if p != q:
-                top[p] = q
-                parts -= 1
-                yield left[a[k]][0], right[b[k]][0]
-                if parts == 1:
-                    return
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by sig, lo, hi."""
-        key, rows, out = None, [], []
-
-        def flush():
-            if len(rows) > 1:
-                _, lo, hi = key
-                left = [r for r in rows if r[4] == lo]
-                right = left if lo == hi else [r for r in rows if r[4] == hi]
-                if left and right:
-                    out.extend(of(left, right, lo == hi))
-
-        def batch():
-            both = [(min(p), max(p)) for p in out]
-            out.clear()
-            both = list(dict.fromkeys(both))
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in both], pa.binary()) for i in (0, 1)], names=["a", "b"])
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sig, lo, hi, own, cls, n, bits -> a, b: a spanning forest of the pairs within a list that the bit vectors let pass."""
+    ids: dict[bytes, int] = {}
+    size, flags, keys, who = [], [], [], []
+    for b in batches:
+        keys.append(np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]))
+        at = np.empty(b.num_rows, np.int64)
+        for j, (cls, n, data) in enumerate(zip(*(b.column(i).to_pylist() for i in (4, 5, 6)))):
+            at[j] = k = ids.setdefault(cls, len(ids))
+            if k == len(size):
+                size.append(n)
+                flags.append(data)
+        who.append(at)
+    if len(ids) < 2:
+        return
+    names, n, vectors = list(ids), np.array(size), np.frombuffer(b"".join(flags), np.uint64).reshape(len(ids), -1)
+    key, at = np.concatenate(keys), np.concatenate(who)
+    order = np.lexsort((at, key[:, 2], key[:, 1], key[:, 0]))
+    key, at = key[order], at[order]
+    same = (key[1:, :3] == key[:-1, :3]).all(1)
+    group = np.r_[0, np.cumsum(~same)]
+    last = np.r_[np.flatnonzero(~same), len(at) - 1][group]  # place of the last row of each row's list
+    cross = key[:, 1] != key[:, 2]  # rows of two different blocks: only pairs across
+    label, out, step, left = np.arange(len(ids)), [], 1, np.arange(len(at))
+    while True:
+        left = left[left + step <= last[left]]
+        if not len(left):
+            break
+        i, j = at[left], at[left + step]
+        ok = (label[i] != label[j]) & (DENOM * np.minimum(n[i], n[j]) >= NUMER * np.maximum(n[i], n[j]))
+        ok &= ~cross[left] | (key[left, 3] != key[left + step, 3])
+        i, j = i[ok], j[ok]
+        if len(i):
+            pairs = np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j))
+            i, j = pairs // len(ids), pairs % len(ids)
+            for k in range(0, len(i), 100_000):
+                p, q = i[k : k + 100_000], j[k : k + 100_000]
+                far = np.bitwise_count(vectors[p] ^ vectors[q]).sum(1, dtype=np.int64)
+                ok = (NUMER + DENOM) * far <= (DENOM - NUMER) * (n[p] + n[q])
+                top = label.tolist() if ok.any() else []
+
+                def root(x: int, top: list = top) -> int:
+                    while top[x] != x:
+                        top[x] = top[top[x]]
+                        x = top[x]
+                    return x
+
+                for x, y in zip(p[ok].tolist(), q[ok].tolist()):
+                    u, v = root(x), root(y)
+                    if u != v:
+                        top[max(u, v)] = min(u, v)
+                        out.append((names[x], names[y]))
+                if top:
+                    label = np.array(top)
+                    while (label[label] != label).any():
+                        label = label[label]
+        step += 1
+    for k in range(0, len(out), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[k : k + 20_000]], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def forest(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None) -> Iterator[tuple[bytes, bytes]]:
+    """A spanning forest of the links among the sets of left, or between those of left and right."""
+    rows = left + (right or [])
+    first = len(left) if right is not None else 0
+    vectors, n = np.array([bits(s, 4 * BITS) for _, s in rows]), np.array([len(s) for _, s in rows])
+    top, found = list(range(len(rows))), []
+    for i in range(len(left)):
+        j = np.arange(max(first, i + 1), len(rows))
+        j = j[DENOM * np.minimum(n[i], n[j]) >= NUMER * np.maximum(n[i], n[j])]
+        if len(j):
+            far = np.bitwise_count(vectors[i] ^ vectors[j]).sum(1, dtype=np.int64)
+            ok = (NUMER + DENOM) * far <= (DENOM - NUMER) * (n[i] + n[j])
+            found.append((np.full(ok.sum(), i, np.int32), j[ok].astype(np.int32), (far[ok] / (n[i] + n[j][ok])).astype(np.float32)))
+    if not found:
+        return
+    a, b, far = (np.concatenate(z) for z in zip(*found))
 
-        for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(8)]
-            for sig, lo, hi, own, cls, n, vec, comp in zip(*cols):
-                if key != (sig, lo, hi):
-                    flush()
-                    key, rows = (sig, lo, hi), []
-                rows.append((cls, n, vec, comp, own))
-            if len(out) > 20_000:
-                yield batch()
-        flush()
-        if out:
-            yield batch()
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
 
-    return run
+    for k in np.argsort(far, kind="stable"):
+        p, q = root(a[k]), root(b[k])
+        if p != q and links(rows[a[k]][1], rows[b[k]][1]):
+            top[p] = q
+            yield rows[a[k]][0], rows[b[k]][0]
 
 
-def _candidates(members: DataFrame, everything: bool) -> DataFrame:
-    """members (sig, cls, n, bits, k, comp) -> distinct pairs a, b. Lists of more than BLOCK members go out in pairs of blocks."""
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "bits", "comp")
-    rows = rows.repartition(partitions(members.sparkSession), "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-    return rows.mapInArrow(_pairs(everything), "a binary, b binary").distinct()
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cluster, lo, hi -> verified links a, b. Memory holds one pair of blocks."""
+    key, rows = None, {}
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        _, lo, hi = key
+        left = [(c, s) for c, (own, s) in rows.items() if own == lo]
+        right = None if lo == hi else [(c, s) for c, (own, s) in rows.items() if own == hi]
+        out = list(forest(left, right))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+        for cluster, lo, hi, own, cls, data in zip(*(b.column(i).to_pylist() for i in range(6))):
+            if key != (cluster, lo, hi):
+                yield from flush()
+                key, rows = (cluster, lo, hi), {}
+            rows[cls] = (own, np.frombuffer(data, np.uint64))
+    yield from flush()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs with ok, decided on the whole sets."""
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary, ok boolean")
+def blocked(rows: DataFrame) -> DataFrame:
+    """rows (with cls and blocks) once for each pair of blocks lo, hi that their own block is in."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
 
 def free(spark: SparkSession) -> None:
@@ -316,38 +340,31 @@ def near_groups(docs: DataFrame) -> DataFrame:
     lists = stored(lists, "lists")
     free(spark)
     # Copies of a class are alike in bits and size; c1 is the head of cls, and classes that share it are both taken.
-    classes = stored(rows.where("cls is not null").groupBy("cls", "n", "bits").agg(F.min(F.struct("did", "th")).alias("first")), "classes")
+    classes = stored(rows.where("cls is not null").groupBy("cls", "n", "bits").agg(F.min(F.struct(F.col("did").isNull().alias("none"), "did", "th")).alias("first")), "classes")
     head = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
-    found = lists.join(classes.select(head.alias("c1"), "cls", "n", "bits"), "c1").select("sig", "k", "cls", "n", "bits")
-    found = stored(found.withColumn("comp", F.lit(None).cast("binary")), "members")
+    listed = lists.join(classes.select(head.alias("c1"), "cls", "n", "bits"), "c1")
+    tied = blocked(listed.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")))
+    tied = tied.select("sig", "lo", "hi", "own", "cls", "n", "bits").repartition(partitions(spark), "sig", "lo", "hi").mapInArrow(_tied, "a binary, b binary")
+    clusters = stored(components(tied), "clusters")
     drop_stored(lists)
     free(spark)
-
-    wanted = stored(found.select("cls").distinct().join(classes.select("cls", F.col("first.did").alias("_did")), "cls").select("_did").distinct(), "wanted")
+    some = broadcast_if_small(clusters, clusters.count())
+    members = stored(classes.select("cls", F.col("first.did").alias("_did")).join(some, F.col("cls") == F.col("node")).select("cls", "_did", F.col("root").alias("cluster")), "members")
+    blocks = members.groupBy(F.col("cluster").alias("_cluster")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    wanted = members.select("_did").distinct()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py()).tobytes() for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["cls", "set"])
-
-    sets = frame.join(broadcast_if_small(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("_did")), "left_semi").select("text").mapInArrow(take, "cls binary, set binary")
-    sets = stored(sets, "sets")
-
-    done = stored(_verify(_candidates(found, False), sets), "verified")
-    free(spark)
-    roots = stored(components(done.where("ok").select("a", "b")), "roots")
-    side = broadcast_if_small(roots, roots.count())
-    marked = found.drop("comp").join(side, F.col("cls") == F.col("node"), "left").select("sig", "k", "cls", "n", "bits", F.coalesce("root", "cls").alias("comp"))
-    open_lists = marked.groupBy(F.col("sig").alias("_sig")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("_sig")
-    open_lists = stored(open_lists, "open")
-    left = marked.join(broadcast_if_small(open_lists, open_lists.count()), F.col("sig") == F.col("_sig"), "left_semi")
-    rest = _candidates(left, True).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(_verify(stored(rest, "rest"), sets), "more")
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["_cls", "set"])
+
+    n = members.count()
+    sets = frame.join(broadcast_if_small(wanted, n), F.col("doc_id").eqNullSafe(F.col("_did")), "left_semi").select("text").mapInArrow(take, "_cls binary, set binary")
+    where = members.join(broadcast_if_small(blocks, n), F.col("cluster") == F.col("_cluster")).select("cls", "cluster", "blocks")
+    met = blocked(sets.join(broadcast_if_small(where, n), F.col("_cls") == F.col("cls"))).select("cluster", "lo", "hi", "own", "cls", "set")
+    met = met.repartition(partitions(spark), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    roots = stored(components(met.mapInArrow(_joined, "a binary, b binary")), "roots")
     free(spark)
-    if not more.where("ok").isEmpty():
-        roots = stored(components(done.unionByName(more).where("ok").select("a", "b")), "roots")
-    for df in (found, sets):
-        drop_stored(df)
 
     at = classes.select("cls", "first").join(broadcast_if_small(roots, roots.count()), F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
     at = stored(at, "at")

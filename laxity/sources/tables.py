@@ -42,5 +42,5 @@ def kind_of(df: DataFrame, name: str) -> str:
 
 def read_thresholds(spark: SparkSession, path: str, df: DataFrame, digits: dict[str, int]) -> list[Attribute]:
     """Attributes of df from a threshold file of one line for each column."""
-    lines = [r[0] for r in spark.read.option("wholetext", True).text(path).collect()]  # one line a column
+    lines = [r[0] for r in spark.read.text(path, wholetext=True).collect()]  # one line a column
     return from_lines("".join(lines).splitlines(), [(c, kind_of(df, c), digits.get(c, 0)) for c in df.columns])

@@ -11,7 +11,7 @@ a block; no table of words is broadcast or collected.
 
 Defined results: null and empty texts have the end alone; a null doc_id counts as the empty string for the split; rows that repeat are scored and counted each.
 Without training tokens every token has probability 1 of 1 (N = 0, V = 0: base 0.1 / 0.1), the model's 1 / (V + 1). An empty table gives an empty result.
-Words are counted by 64-bit hashes.
+Words are counted by 64-bit hashes, pairs by the first 48 bits of one.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, table
 from .ngram_join import MUL, free, mix
 
-BLOCK = 1_500_000
+BLOCK = 700_000
 #: Documents for which one range more is made.
 RANGE_DOCS = 2000
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
+#: Of a pair's hash these bits are kept.
+PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 BUCKETS = 26
 CELLS = 48
 
-PACKED = "block long, tune boolean, kind string, part int, keys binary, counts binary, ids binary, lens binary, tokens binary, first binary, second binary"
+PACKED = "block long, tune boolean, kind string, part int, keys binary, counts binary, ids binary, lens binary, tokens binary, words binary, ranks binary"
 NAMES = [x.split()[0] for x in PACKED.split(", ")]
 KINDS = pa.schema([("block", pa.int64()), ("tune", pa.bool_()), ("kind", pa.string()), ("part", pa.int32()), *[(n, pa.binary()) for n in NAMES[4:]]])
 
@@ -54,32 +56,56 @@ def _unzip(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def pack(ids: list, docs: list[np.ndarray], tune: bool, ranges: int) -> Iterator[pa.RecordBatch]:
-    """A block's rows: kind d, the documents as indices of pairs; u and b, the words and pairs of each range with their training counts."""
-    lens = np.array([len(d) for d in docs], np.int64)
-    words = np.concatenate(docs)
-    train = np.repeat(np.array([fold_of(i) != 0 for i in ids]), lens)
-    uni, at = np.unique(words, return_inverse=True)
-    before = np.empty_like(at)
+def _planes(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def _whole(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _code(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of all of them, so that the leading zeros go."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _decode(data: bytes) -> np.ndarray:
+    return np.cumsum(_whole(data, np.uint64), dtype=np.uint64)
+
+
+def _pairs(at: np.ndarray, lens: np.ndarray, uni: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a block's words (indices into uni): first and second word of each distinct pair, the pair of each token, the pairs' keys and their order."""
+    before = np.empty(len(at), np.int64)
     before[1:] = at[:-1]
     before[np.r_[0, np.cumsum(lens)[:-1]]] = np.searchsorted(uni, END)
     pair, token = np.unique(before * len(uni) + at, return_inverse=True)
     first, second = pair // len(uni), pair % len(uni)
-    keys = mix(uni[first] * MUL + uni[second])
-    order = np.argsort(keys)
-    keys, first, second = keys[order], first[order], second[order]
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    token = place[token]
+    keys = mix(uni[first] * MUL + uni[second]) & PAIR_BITS
+    return first, second, token, keys, np.argsort(keys, kind="stable")
+
+
+def pack(ids: list, docs: list[np.ndarray], tune: bool, ranges: int) -> Iterator[pa.RecordBatch]:
+    """A block's rows: kind d, the documents as indices of words; u and b, the words and pairs of each range with their training counts."""
+    lens = np.array([len(d) for d in docs], np.int64)
+    train = np.repeat(np.array([fold_of(i) != 0 for i in ids]), lens)
+    words = np.concatenate(docs)
+    docs.clear()
+    uni, at = np.unique(words, return_inverse=True)
+    del words
+    _, _, token, keys, order = _pairs(at, lens, uni)
+    rank = np.argsort(-np.bincount(at, minlength=len(uni)), kind="stable").astype(np.int32)  # frequent words get small numbers, which pack well
+    place = np.empty(len(uni), np.int32)
+    place[rank] = np.arange(len(uni), dtype=np.int32)
     block = uuid.uuid4().int >> 65
     some = np.array([0 if i is None else i for i in ids], np.int64)
     null = np.array([i is None for i in ids])
-    row = {"block": block, "tune": tune, "kind": "d", "ids": _zip(some) , "keys": null.tobytes(), "lens": _zip(lens), "tokens": _zip(token), "first": _zip(first.astype(np.int32)), "second": _zip(second.astype(np.int32))}
+    row = {"block": block, "tune": tune, "kind": "d", "ids": _zip(some), "keys": null.tobytes(), "lens": _zip(lens), "tokens": _planes(place[at]), "words": _code(uni), "ranks": _planes(rank)}
     yield pa.RecordBatch.from_pylist([row], schema=KINDS)
     shift = np.uint64(64 - (ranges.bit_length() - 1))
-    for kind, key, count in (("u", uni, np.bincount(at[train], minlength=len(uni))), ("b", keys, np.bincount(token[train], minlength=len(keys)))):
+    for kind, key, count in (("u", uni, np.bincount(at[train], minlength=len(uni))), ("b", keys[order], np.bincount(token[train], minlength=len(keys))[order])):
         cuts = np.searchsorted(key >> shift, np.arange(ranges + 1, dtype=np.uint64))
-        rows = [{"block": block, "tune": tune, "kind": kind, "part": g, "keys": key[a:b].tobytes(), "counts": _zip(count[a:b].astype(np.uint32))} for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        rows = [{"block": block, "tune": tune, "kind": kind, "part": g, "keys": _code(key[a:b]), "counts": _zip(count[a:b].astype(np.uint32))} for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         yield pa.RecordBatch.from_pylist(rows, schema=KINDS)
 
 
@@ -100,6 +126,7 @@ def _packed(ranges: int):
                 if size[tune] >= BLOCK:
                     yield from pack(*held[tune], tune, ranges)
                     held[tune], size[tune] = ([], []), 0
+            pa.default_memory_pool().release_unused()
         for tune in (True, False):
             if size[tune]:
                 yield from pack(*held[tune], tune, ranges)
@@ -115,7 +142,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by kind and part -> for each the totals of its keys; for each range of words, how many occur and how often (kind n)."""
 
     def flush(kind: str, part: int, rows: list) -> Iterator[pa.RecordBatch]:
-        keys = [np.frombuffer(r[2], np.uint64) for r in rows]
+        keys = [_decode(r[2]) for r in rows]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_unzip(r[3], np.uint32) for r in rows])).astype(np.uint64)
         out, i = [], 0
@@ -138,27 +165,35 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(*key, rows)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
-    """Rows sorted by block, kind, part -> (row d, totals of words, totals of pairs)."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows sorted by block, kind, part -> (row d, its lens, the pair of each token, counts of context, word and pair)."""
+
+    def whole(d: dict, found: dict[str, list]) -> tuple:
+        cu, cb = (np.concatenate(found[k]).astype(float) for k in "ub")
+        lens = _unzip(d["lens"], np.int64)
+        first, second, token, _, order = _pairs(_whole(d["ranks"], np.int32)[_whole(d["tokens"], np.int32)], lens, _decode(d["words"]))
+        pair = np.empty(len(cb))
+        pair[order] = cb
+        return d, lens, token, cu[first], cu[second], pair
+
     block, d, found = None, None, {"u": [], "b": []}
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
     for b in batches:
         for row in b.to_pylist():
             if row["block"] != block:
                 if d:
-                    yield d, join(found["u"]), join(found["b"])
+                    yield whole(d, found)
                 block, d, found = row["block"], None, {"u": [], "b": []}
             if row["kind"] == "d":
                 d = row
             else:
                 found[row["kind"]].append(_unzip(row["totals"], np.uint64))
     if d:
-        yield d, join(found["u"]), join(found["b"])
+        yield whole(d, found)
 
 
 def _met(docs: DataFrame, replies: DataFrame) -> DataFrame:
     """Documents and replies of a block, together and in order."""
-    names = ["ids", "keys", "lens", "tokens", "first", "second"]
+    names = ["ids", "keys", "lens", "tokens", "words", "ranks"]
     left = docs.select("block", "kind", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("totals"), *names)
     right = replies.select("block", "kind", "part", "totals", *[F.lit(None).cast("binary").alias(n) for n in names])
     rows = left.unionByName(right)
@@ -186,9 +221,8 @@ def _histogram(total: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS * CELLS * CELLS, np.int64)
-        for d, cu, cb in _blocks(batches):
-            token, first, second = _unzip(d["tokens"], np.int32), _unzip(d["first"], np.int32), _unzip(d["second"], np.int32)
-            context, word, pair = (x.astype(float) - 1 for x in (cu[first], cu[second], cb))
+        for _, _, token, context, word, pair in _blocks(batches):
+            context, word, pair = context - 1, word - 1, pair - 1
             p2 = np.where(context > 0, pair / np.maximum(context, 1), 0)
             cell = (_bucket(context) * CELLS + _cell(p2)) * CELLS + _cell(word / max(total - 1, 1))
             np.add.at(sums, cell, np.bincount(token, minlength=len(cell)))
@@ -225,14 +259,11 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _scores(weights: np.ndarray, total: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, cu, cb in _blocks(batches):
-            token, first, second = _unzip(d["tokens"], np.int32), _unzip(d["first"], np.int32), _unzip(d["second"], np.int32)
-            context, word, pair = (x.astype(float) for x in (cu[first], cu[second], cb))
+        for d, lens, token, context, word, pair in _blocks(batches):
             a = weights[_bucket(context)]
             p = a[:, 0] * pair / np.maximum(context, 1) + a[:, 1] * word / max(total, 1) + a[:, 2] / (words + 1)
             p = np.where(word.sum() + total > 0, p, 1 / (words + 1))
             base = np.log10((word + 0.1) / (total + 0.1 * (words + 1)))
-            lens = _unzip(d["lens"], np.int64)
             at = np.r_[0, np.cumsum(lens)[:-1]]
             added = lambda x: np.add.reduceat(x[token], at)
             null, ids = np.frombuffer(d["keys"], bool), _unzip(d["ids"], np.int64)

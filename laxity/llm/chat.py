@@ -9,8 +9,11 @@ Texts are escaped reversibly: ESCAPE comes before each ESCAPE and before the sec
 a text, so that no text can form a control string and every text can be read back.
 
 Defined results: rows go by turn (then role and text, null last); a null text counts as empty, a null role as the empty role; repeated rows are turns of their own;
-a conversation of any length is one value, and a hot conv_id is put together from sorted chunks of CHUNK turns. A null conv_id is a
-conversation like any other. An empty table formats to nothing.
+a null conv_id is a conversation like any other. An empty table formats to nothing. Rows are sorted over range-split tasks, so that a hot conv_id
+is spread by turn, and rendered in pieces of at most CHUNK turns (fewer once they reach CHUNK_CHARS characters). A conversation is its pieces in the order of part and piece;
+one that lies within a task and a piece is one row. digests() folds the pieces of a conversation in order and holds one at a time: the SHA-256 of
+a conversation is one chain, so that this fold (not the rendering) is one task for each conversation. A template that is more than one loop over the messages needs
+all turns at once: it is rendered a conversation a row, which has to fit into a task and 2 GB of text.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,10 @@ from .common import partitions, table
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role|>", "<|turn|>")
 ESCAPE = "\\"
+#: A piece ends after so many turns, or so many characters of text.
+CHUNK, CHUNK_CHARS = 4096, 1 << 20
+#: Characters of a text by which equal turns and roles are split over tasks.
+SPLIT_CHARS = 64
 #: Every turn is marked by its role and closed, the assistant's text is generated.
 TEMPLATE = (
     "{% for m in messages %}<|role|>{{ m.role | escape }}<|turn|>"
@@ -397,57 +406,133 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return out
 
 
-SCHEMA = "conv_id long, formatted string, spans array<struct<start: long, end: long>>"
+def by_turn(source: str) -> bool:
+    """Whether the template is one loop over the messages whose body sees a message alone, so that its pieces join up to the whole."""
 
+    def names(node) -> set[str]:
+        if isinstance(node, tuple):
+            return set().union(*map(names, node))
+        if isinstance(node, Name):
+            return {node.name}
+        return set().union(*(names(getattr(node, f.name)) for f in fields(node))) if is_dataclass(node) else set()
 
-def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[dict]]]:
-    """Rows sorted by conv_id and turn -> conversations."""
-    key, turns, any_row = None, [], False
+    tree = fold(parse(source))
+    return len(tree) == 1 and isinstance(tree[0], For) and tree[0].of == Name("messages") and "messages" not in names(tree[0].body)
+
+
+PIECES = "conv_id long, part int, piece long, whole boolean, formatted string, spans array<struct<start: long, end: long>>"
+PIECE = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("piece", pa.int64()), ("whole", pa.bool_()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int | None) -> Iterator[tuple[int, object, int, bool, list[dict]]]:
+    """Rows sorted by conv_id and turn -> number of the conversation in this task, conv_id, number of the chunk, whether it is the last here, its turns."""
+    nth, key, n, turns, size, any_row = 0, None, 0, [], 0, False
     for b in batches:
         for conv, role, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             if any_row and conv != key:
-                yield key, turns
-                turns = []
+                yield nth, key, n, True, turns
+                nth, n, turns, size = nth + 1, 0, [], 0
+            elif chunk and (len(turns) >= chunk or size >= CHUNK_CHARS):
+                yield nth, key, n, False, turns
+                n, turns, size = n + 1, [], 0
             key, any_row = conv, True
             turns.append({"role": role or "", "text": text or ""})
+            size += len(turns[-1]["role"]) + len(turns[-1]["text"])
     if any_row:
-        yield key, turns
+        yield nth, key, n, True, turns
 
 
-def _sorted(conversations: DataFrame) -> DataFrame:
+def _sorted(conversations: DataFrame, spread: bool) -> DataFrame:
+    """Rows in order within tasks; spread: also over tasks, else a conversation is in one task."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
-    rows = rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
-    return rows.select("conv_id", "role", "text")
+    turn, role, text = (c.asc_nulls_last() for c in (F.col("turn"), F.col("role"), F.col("text")))
+    n = partitions(conversations.sparkSession)
+    rows = rows.repartitionByRange(n, "conv_id", turn, role, F.substring("text", 1, SPLIT_CHARS).asc_nulls_last()) if spread else rows.repartition(n, "conv_id")
+    return rows.sortWithinPartitions("conv_id", turn, role, text).select("conv_id", "role", "text")
 
 
-def format_conversations(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """conv_id, formatted, spans (start, end of generated text)."""
+def format_conversations(conversations: DataFrame, template: str = TEMPLATE, chunk: int = CHUNK) -> DataFrame:
+    """conv_id, part, piece, whole, formatted, spans: the pieces of each conversation, in order by part and piece; whole if it is the only one for certain.
+    Spans (start, end of generated text) count from the start of their piece."""
+    spread = by_turn(template)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compiled(template)
-        for key, turns in _conversations(batches):
+        render, part = compiled(template), TaskContext.get().partitionId()
+        held, rows, size = None, [], 0
+
+        def row(nth, key, n, last, turns, inside: bool) -> dict:
             text, spans = render(turns)
-            yield pa.RecordBatch.from_pylist([{"conv_id": key, "formatted": text, "spans": [{"start": a, "end": b} for a, b in spans]}], schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+            return {"conv_id": key, "part": part, "piece": n, "whole": not spread or (inside and last and not n), "formatted": text, "spans": [{"start": a, "end": b} for a, b in spans]}
 
-    return _sorted(conversations).mapInArrow(run, SCHEMA)
+        for found in _chunks(batches, chunk if spread else None):
+            if held:  # a conversation is inside if others come before and after it in the task
+                rows.append(row(*held, held[0] > 0))
+                size += len(rows[-1]["formatted"])
+                if size >= CHUNK_CHARS or len(rows) >= 1000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=PIECE)
+                    rows, size = [], 0
+            held = found
+        if held:
+            yield pa.RecordBatch.from_pylist([*rows, row(*held, False)], schema=PIECE)
 
+    return _sorted(conversations, spread).mapInArrow(run, PIECES)
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the output says when it is read back."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for key, text, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
-                turns = read_back(text)
-                loss = "".join([unescape(text[s["start"] : s["end"]]) for s in spans])
-                said = "".join([f"{role}\n{said}\n" for role, said in turns])
-                rows.append((key, len(turns), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=names)
-
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces -> the digests of whole conversations; of others what the piece says (said) and its generated text (lost), packed."""
+    names, pack = [*(x.split()[0] for x in DIGEST.split(", ")), "part", "piece", "said", "lost"], zstandard.ZstdCompressor(1).compress
+    for b in batches:
+        rows = []
+        for key, part, piece, whole, text, spans in zip(*(b.column(i).to_pylist() for i in range(6))):
+            turns = read_back(text)
+            loss = "".join([unescape(text[s["start"] : s["end"]]) for s in spans])
+            said, lost = "".join([f"{role}\n{said}\n" for role, said in turns]).encode("utf-8", "surrogatepass"), loss.encode("utf-8", "surrogatepass")
+            own = (hashlib.sha256(said).hexdigest(), hashlib.sha256(lost).hexdigest(), None, None) if whole else (None, None, pack(said), pack(lost))
+            rows.append((key, len(turns), own[0], len(loss), own[1], len(text), part, piece, *own[2:]))
+        cols = list(zip(*rows)) if rows else [[]] * 10
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*_KINDS, pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _read() sorted by conv_id, part, piece -> a row for each conversation."""
+    names, unpack = [x.split()[0] for x in DIGEST.split(", ")], zstandard.ZstdDecompressor().decompress
+    open_key, sums, hashes = None, None, None
+
+    def out(rows: list) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=names)
+
+    def closed() -> tuple:
+        return open_key, sums[0], hashes[0].hexdigest(), sums[1], hashes[1].hexdigest(), sums[2]
+
+    for b in batches:
+        rows = []
+        columns = [b.column(i).to_pylist() for i in range(6)]
+        for i, (key, turns, sha, loss, _, chars) in enumerate(zip(*columns)):
+            if sha is not None:
+                rows.append(tuple(c[i] for c in columns))
+                continue
+            if sums is not None and key != open_key:
+                rows.append(closed())
+                sums = None
+            if sums is None:
+                open_key, sums, hashes = key, [0, 0, 0], [hashlib.sha256(), hashlib.sha256()]
+            sums = [x + y for x, y in zip(sums, (turns, loss, chars))]
+            for h, packed in zip(hashes, (b.column(8)[i], b.column(9)[i])):
+                h.update(unpack(packed.as_py()))
+        yield out(rows)
+    if sums is not None:
+        yield out([closed()])
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """What the output says when it is read back, a row for each conversation."""
+    read = formatted.mapInArrow(_read, DIGEST + ", part int, piece long, said binary, lost binary")
+    return read.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "piece").mapInArrow(_folded, DIGEST)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

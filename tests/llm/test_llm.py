@@ -180,6 +180,33 @@ def test_chat_reads_back(spark):
     assert out[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\nyes\nassistant\nyes\n").hexdigest()
 
 
+def test_chat_spreads_a_hot_conversation(spark):
+    turns = [(7, i, ["system", "user", "assistant"][i % 3], f"{i} <s>\\ é" * (i % 5)) for i in range(3000)] + [(8, 0, "user", f"same turn {i}") for i in range(900)]
+    rest = [(i, 0, "user", "hi") for i in range(100, 300)] + [(None, 0, "assistant", "x")]
+    rows = [*turns, *rest]
+    random.Random(3).shuffle(rows)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    pieces = chat.format_conversations(frame, chunk=100).collect()
+    hot = sorted((r for r in pieces if r["conv_id"] == 7), key=lambda r: (r["part"], r["piece"]))
+    assert len({r["part"] for r in hot}) > 1 and all(len(chat.read_back(r["formatted"])) <= 100 for r in hot)
+    want, at = {}, Counter(r[0] for r in rows)
+    for key in at:
+        own = sorted((r[1:] for r in rows if r[0] == key), key=lambda r: (r[0], r[1], r[2].encode()))
+        text, spans = chat.compiled()([{"role": r, "text": t} for _, r, t in own])
+        loss = "".join(t for _, r, t in own if r == "assistant")
+        want[key] = (len(own), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text))
+        assert key != 7 or "".join(r["formatted"] for r in hot) == text
+    got = chat.digests(chat.format_conversations(frame, chunk=100)).collect()
+    assert len(got) == len(want) and {r[0]: tuple(r)[1:] for r in got} == want
+
+
+def test_a_template_that_needs_all_turns_stays_whole(spark):
+    template = "{{ messages | length }}:{% for m in messages %}{{ m.text }}{% endfor %}"
+    assert chat.by_turn(chat.TEMPLATE) and not chat.by_turn(template)
+    frame = spark.createDataFrame([(1, i, "user", str(i)) for i in range(9)], "conv_id long, turn long, role string, text string")
+    assert [(r["formatted"], r["whole"]) for r in chat.format_conversations(frame, template, chunk=2).collect()] == [("9:012345678", True)]
+
+
 def test_template_language():
     assert chat.fold(chat.parse("{% if 1 == 1 and not false %}a{{ 'b' | upper }}{% else %}c{% endif %}")) == (chat.Text("aB"),)
     render = chat.compiled("{% for m in messages %}{% if m.role != 'user' or m.text | length > 2 %}{{ m.role + ':' }}{% endif %}{% endfor %}")

@@ -11,7 +11,7 @@ a block; no table of words is broadcast or collected.
 
 Defined results: null and empty texts have the end alone; a null doc_id counts as the empty string for the split; rows that repeat are scored and counted each.
 Without training tokens every token has probability 1 of 1 (N = 0, V = 0: base 0.1 / 0.1), the model's 1 / (V + 1). An empty table gives an empty result.
-Words are counted by 64-bit hashes, pairs by the first 48 bits of one.
+Words and pairs are counted by 64-bit hashes; counts are exact but where two hashes are equal (expected for 1e9 distinct pairs: 0.03 collisions).
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ BLOCK = 700_000
 #: Documents for which one range more is made.
 RANGE_DOCS = 2000
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
-#: Of a pair's hash these bits are kept.
-PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 BUCKETS = 26
 CELLS = 48
 
@@ -81,7 +79,7 @@ def _pairs(at: np.ndarray, lens: np.ndarray, uni: np.ndarray) -> tuple[np.ndarra
     before[np.r_[0, np.cumsum(lens)[:-1]]] = np.searchsorted(uni, END)
     pair, token = np.unique(before * len(uni) + at, return_inverse=True)
     first, second = pair // len(uni), pair % len(uni)
-    keys = mix(uni[first] * MUL + uni[second]) & PAIR_BITS
+    keys = mix(uni[first] * MUL + uni[second])
     return first, second, token, keys, np.argsort(keys, kind="stable")
 
 
@@ -105,7 +103,7 @@ def pack(ids: list, docs: list[np.ndarray], tune: bool, ranges: int) -> Iterator
     shift = np.uint64(64 - (ranges.bit_length() - 1))
     for kind, key, count in (("u", uni, np.bincount(at[train], minlength=len(uni))), ("b", keys[order], np.bincount(token[train], minlength=len(keys))[order])):
         cuts = np.searchsorted(key >> shift, np.arange(ranges + 1, dtype=np.uint64))
-        rows = [{"block": block, "tune": tune, "kind": kind, "part": g, "keys": _code(key[a:b]), "counts": _zip(count[a:b].astype(np.uint32))} for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        rows = [{"block": block, "tune": tune, "kind": kind, "part": g, "keys": _code(key[a:b]), "counts": _planes(count[a:b].astype(np.uint32))} for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         yield pa.RecordBatch.from_pylist(rows, schema=KINDS)
 
 
@@ -144,10 +142,10 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(kind: str, part: int, rows: list) -> Iterator[pa.RecordBatch]:
         keys = [_decode(r[2]) for r in rows]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_unzip(r[3], np.uint32) for r in rows])).astype(np.uint64)
+        total = np.bincount(at, weights=np.concatenate([_whole(r[3], np.uint32) for r in rows])).astype(np.uint64)
         out, i = [], 0
         for r, k in zip(rows, keys):
-            out.append({"block": r[0], "tune": r[1], "kind": kind, "part": part, "totals": _zip(total[at[i : i + len(k)]])})
+            out.append({"block": r[0], "tune": r[1], "kind": kind, "part": part, "totals": _planes(total[at[i : i + len(k)]])})
             i += len(k)
         if kind == "u":
             out.append({"kind": "n", "part": part, "distinct": int((total > 0).sum()), "tokens_in": int(total.sum())})
@@ -186,7 +184,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             if row["kind"] == "d":
                 d = row
             else:
-                found[row["kind"]].append(_unzip(row["totals"], np.uint64))
+                found[row["kind"]].append(_whole(row["totals"], np.uint64))
     if d:
         yield whole(d, found)
 

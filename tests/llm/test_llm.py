@@ -258,6 +258,26 @@ def test_lm_score(spark, odd):
     assert all(r["score"] < 0 for r in out) and lm_score.score(odd.limit(0)).count() == 0
 
 
+def test_pairs_whose_hashes_begin_alike_are_counted_apart():
+    import numpy as np
+
+    whole = (1 << 64) - 1
+
+    def unmix(x):
+        x ^= x >> 32
+        x = x * pow(0x94D049BB133111EB, -1, 1 << 64) & whole
+        x ^= x >> 29 ^ x >> 58
+        x = x * pow(0xBF58476D1CE4E5B9, -1, 1 << 64) & whole
+        return x ^ x >> 31 ^ x >> 62
+
+    a, h = 12345, 0x123456789ABC0000
+    second = [(unmix(h + k) - a * int(ngram_join.MUL)) & whole for k in (1, 2)]
+    uni = np.unique(np.array([a, int(lm_score.END), *second], np.uint64))
+    at = np.searchsorted(uni, np.array([a, second[0], a, second[1]], np.uint64))
+    *_, keys, _ = lm_score._pairs(at, np.array([4]), uni)
+    assert {h + 1, h + 2} <= set(keys.tolist())
+
+
 def test_em_learns_the_mixture():
     cells = {(5 * lm_score.CELLS + 40) * lm_score.CELLS + 30: 90, (5 * lm_score.CELLS) * lm_score.CELLS + 30: 10}
     a = lm_score.em(cells, 1000)

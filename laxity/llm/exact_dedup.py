@@ -3,6 +3,7 @@
 Pass one counts the rows on each slot of a bit array of 2 ** b slots, each row setting two slots, and keeps as
 the filter the slots that two or more rows set. Pass two tests every row: one of whose slots is not in the filter
 is certainly unique and passes straight through; only the others shuffle and are grouped exactly, by SHA-256.
+The filter is dense, 2 to 4 bytes a row at most, and broadcast up to FILTER_BLOCKS; beyond it the lookups shuffle every row.
 
 Defined results: a null text counts as empty; all empty texts are equal to each other. Of equal texts the row with the most
 code points in the original text stays, then the smallest doc_id (a null doc_id comes last); of rows equal in
@@ -18,6 +19,8 @@ from .common import broadcast_if_small, stored, table
 
 SPACE = r"[\x20\x09-\x0D]"
 SLOTS_PER_ROW = 16
+#: Blocks of the filter, of 512 bytes, that are broadcast: 64 MB of bits, enough for any table of 33 million rows.
+FILTER_BLOCKS = 1 << 17
 
 
 def digest(text: Column) -> Column:
@@ -35,21 +38,23 @@ def _slots(key: str, bits: int) -> list[Column]:
 
 
 def repeat_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """Pass one: (word, mask), 64 slots to a word, with the bits of the slots that at least two rows set."""
+    """Pass one: (block, words), 64 dense words of 64 slots each, with the bits of the slots that at least two rows set; 2 ** (bits - 12) blocks at most."""
     slots = keys.select(F.explode(F.array_distinct(F.array(*_slots(key, bits)))).alias("slot"))
     repeated = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return repeated.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask"))
+    words = repeated.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask"))
+    blocks = words.groupBy(F.shiftright("word", 6).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("cast(word & 63 as int)"), "mask"))).alias("held"))
+    return blocks.select("block", F.expr("transform(sequence(0, 63), i -> coalesce(try_element_at(held, i), 0L))").alias("words"))
 
 
-def maybe_repeated(rows: DataFrame, key: str, bits: int, found: DataFrame, words: int) -> DataFrame:
+def maybe_repeated(rows: DataFrame, key: str, bits: int, found: DataFrame, blocks: int) -> DataFrame:
     """Pass two: rows with a boolean column _maybe, false only for rows whose key no other row has."""
     held, out = [], rows
     for i, slot in enumerate(_slots(key, bits)):
-        side = found.select(F.col("word").alias(f"_w{i}"), F.col("mask").alias(f"_m{i}"))
+        side = found.select(F.col("block").alias(f"_b{i}"), F.col("words").alias(f"_w{i}"))
         out = out.withColumn(f"_s{i}", slot)
-        out = out.join(broadcast_if_small(side, words), F.shiftright(F.col(f"_s{i}"), 6) == F.col(f"_w{i}"), "left")
-        held.append(F.coalesce(F.expr(f"(shiftright(_m{i}, cast(_s{i} & 63 as int)) & 1) = 1"), F.lit(False)))
-    return out.withColumn("_maybe", held[0] & held[1]).drop(*[f"_{x}{i}" for i in (0, 1) for x in "wms"])
+        out = out.join(broadcast_if_small(side, blocks, FILTER_BLOCKS), F.shiftright(F.col(f"_s{i}"), 12) == F.col(f"_b{i}"), "left")
+        held.append(F.coalesce(F.expr(f"(shiftright(element_at(_w{i}, cast(shiftright(_s{i}, 6) & 63 as int) + 1), cast(_s{i} & 63 as int)) & 1) = 1"), F.lit(False)))
+    return out.withColumn("_maybe", held[0] & held[1]).drop(*[f"_{x}{i}" for i in (0, 1) for x in "wbs"])
 
 
 def _order() -> Column:

@@ -50,6 +50,19 @@ def test_exact_dedup(spark, odd):
     assert exact_dedup.exact_groups(odd.limit(0)).count() == 0 == exact_dedup.drop_exact(odd.limit(0)).count()
 
 
+def test_the_repeat_filter_is_broadcast_for_millions_of_rows(spark):
+    assert 1 << (exact_dedup._bits(12_000_000) - 12) <= exact_dedup.FILTER_BLOCKS  # 30 GB of texts of 2.5 KB
+    keys = spark.range(300_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    found = exact_dedup.repeat_filter(keys.unionByName(keys), "k", 26).cache()  # some 450,000 words
+    n = found.count()
+    rows = keys.unionByName(spark.range(300_000, 310_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k")))
+    out = exact_dedup.maybe_repeated(rows, "k", 26, found, n)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert n <= 1 << 14 and "SortMergeJoin" not in plan and "Exchange hashpartitioning(shiftright" not in plan
+    assert 300_000 <= out.where("_maybe").count() <= 300_100
+    found.unpersist()
+
+
 def test_sharding(spark, odd):
     many = odd.unionByName(docs(spark, ["z" * (i % 97) for i in range(3000)], 100)).unionByName(spark.range(1500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("hot").alias("text")), True)
     rows = sharding.shard(many, 8, 512).collect()

@@ -69,7 +69,9 @@ def coded(rows: DataFrame, attributes: Sequence[Attribute]) -> tuple[DataFrame,
     codes, with the levels of all pairs of values worked out once in a table of CODES ** 2 entries at most. Others are compared as they are."""
     checks = []
     for i, x in enumerate(attributes):
-        if x.kind == NUMBER:
+        if x.kind == NUMBER and x.digits > 300:  # beyond a double's powers of ten
+            checks.append(F.lit(0).alias(f"k{i}"))
+        elif x.kind == NUMBER:
             scaled = F.col(x.name) * 10.0**x.digits
             checks.append(F.min(((F.abs(scaled - F.round(scaled)) < 1e-6) & (F.abs(scaled) < 2.0**50)).cast("int")).alias(f"k{i}"))
         else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -57,9 +57,15 @@ def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def decimal_digits(df: DataFrame, columns: list[str]) -> DataFrame:
-    """attribute, digits: the most decimals that a value of the column has."""
-    plain = lambda c: F.regexp_replace(F.format_string("%.9f", F.col(c).cast("double")), "0+$", "")
-    digits = [F.coalesce(F.max(F.length(F.substring_index(plain(c), ".", -1))), F.lit(0)).alias(c) for c in columns]
+    """attribute, digits: the most decimals that a value of the column has, by its own shortest text with the exponent counted in."""
+
+    def decimals(c: str) -> Column:
+        text = F.col(c).cast("string")
+        behind = F.length(F.regexp_replace(F.regexp_extract(text, r"\.([0-9]+)", 1), "0+$", ""))
+        exponent = F.coalesce(F.regexp_extract(text, r"E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        return F.when(F.col(c) == 0, 0).otherwise(F.greatest(behind - exponent, F.lit(0)))
+
+    digits = [F.coalesce(F.max(decimals(c)), F.lit(0)).alias(c) for c in columns]
     return df.agg(*digits).select(F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("int").alias("digits")) for c in columns])).alias("d")).select("d.*")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laxity.operators import evidence as ev
+from laxity.operators import profile
 from laxity.operators.simjoin import similar_exists, similar_pairs
 from laxity.plans import discover as dis
 from laxity.plans import topk, validate
@@ -180,6 +181,16 @@ def test_files(spark, tmp_path):
     assert "inf)" in "".join(r[0] for r in evidence_files.readable(found, ATTRIBUTES).collect())
 
 
+def test_digits_of_small_and_long_numbers(spark):
+    rows = [(1e-10, 0.1234567890125, 25.0, 0.1, 0.0, 5e-324), (3e-10, 2.0, 1e20, None, 0.0, 0.0), (0.0, -7.5, 1234567.5, float("nan"), None, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d float, e double, f double").withColumn("g", F.lit("0.120000000000").cast("decimal(20,12)"))
+    assert {r[0]: r[1] for r in profile.decimal_digits(df, list("abcdefg")).collect()} == {"a": 10, "b": 13, "c": 1, "d": 1, "e": 0, "f": 325, "g": 2}  # f: 4.9E-324
+    small = [Attribute("a", "number", (1e-10,), 10)]
+    assert as_dict(ev.evidence(df.select("a"), small), small) == {(1,): 1, (0,): 2}
+    tiny = [Attribute("f", "number", (0.5,), 325)]
+    assert as_dict(ev.evidence(df.select("f"), tiny), tiny) == {(1,): 1, (0,): 2}
+
+
 def test_stream_adds_up(spark, tmp_path):
     rows = sample(10, 18)
     for i in range(3):

@@ -8,7 +8,8 @@ The vocabulary file is that of a public tokenizer and its path a parameter; its
 pattern are applied here. Special tokens standing in a text are taken as such, as the library does.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty string; repeated rows are encoded alike.
-Texts are encoded whole. Words are remembered in a cache of bounded size; a word of any length is encoded in n log n steps.
+Texts are encoded whole, about BATCH_BYTES of them at a time. Words are remembered in caches of CACHE_BYTES; a word of any length is
+encoded in n log n steps.
 """
 
 from __future__ import annotations
@@ -19,21 +20,26 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import by_bytes, table
 
-#: Words remembered in each of two generations; the older one goes when the younger is full.
-CACHE_WORDS = 300_000
+#: Bytes, roughly, that each of two generations of remembered words takes; the older one goes when the younger is full.
+CACHE_BYTES = 48 << 20
 CACHE_CHARS = 64
+#: Bytes of text that are encoded before their results leave.
+BATCH_BYTES = 1 << 20
 #: Fragments up to this many symbols are merged by repeated scans, longer ones with a heap.
 SCAN = 24
 #: From here on, tables of letters differ between Unicode versions; such words take the library's normaliser and pattern.
 OLD_LETTERS = "\u0530"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Signs that end a piece of letters by themselves.
+SIGNS = (".", ",", ";", ":", "!", "?")
 #: Characters that Python's split() drops, but the pattern's \s does not hold.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -66,9 +72,10 @@ class Encoder:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.ranks = {}
+        self.ranks, self.made = {}, []  # rank of each pair of ids, and the id that it makes
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.ranks.setdefault((self.vocab[a], self.vocab[b]), rank)
+            self.made.append(self.vocab[a + b])
         self.inside = set()  # neighbouring byte symbols that some token holds
         for t in self.vocab:
             t = t.removesuffix(self.end) if self.end else t
@@ -78,47 +85,49 @@ class Encoder:
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
+        self.taken = 0
         self.pieces: dict[str, list[int]] = {}
+        self.counts: dict[str, int] = {}
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Merges by rank, the leftmost first among equals; a heap over a linked list."""
-        n, ranks = len(ids), self.ranks
+        """Merges by rank, the leftmost first among equals; a heap over a linked list where there are many symbols."""
+        n, rank, made, none = len(ids), self.ranks.get, self.made, len(self.made)
         if n <= SCAN:
-            while len(ids) > 1:
-                best, at = None, 0
-                for i, pair in enumerate(zip(ids, ids[1:])):
-                    r = ranks.get(pair)
-                    if r is not None and (best is None or r[0] < best[0]):
-                        best, at = r, i
-                if best is None:
-                    break
-                ids[at : at + 2] = [best[1]]
+            own = [rank(pair, none) for pair in zip(ids, ids[1:])]
+            while own and (least := min(own)) < none:
+                i = own.index(least)
+                ids[i : i + 2] = [new] = [made[least]]
+                del own[i]
+                if i < len(own):
+                    own[i] = rank((new, ids[i + 1]), none)
+                if i:
+                    own[i - 1] = rank((ids[i - 1], new), none)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
-        heap.sort(key=lambda x: (x[0], x[2]))
-        heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = made[r], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := ranks.get((new, ids[k])):
-                    heapq.heappush(heap, (r[0], i, r[1], new, ids[k]))
-            if (p := before[i]) >= 0 and (r := ranks.get((ids[p], new))):
-                heapq.heappush(heap, (r[0], p, r[1], ids[p], new))
+                if (r := rank((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[k]))
+            if (p := before[i]) >= 0 and (r := rank((ids[p], new))) is not None:
+                heapq.heappush(heap, (r, p, ids[p], new))
         return [x for x in ids if x >= 0]
 
     def fragments(self, symbols: str) -> list[str]:
         """symbols, cut where no token reaches over."""
         inside = self.inside
+        if inside.issuperset(zip(symbols, symbols[1:])):
+            return [symbols]
         cuts = [i for i in range(1, len(symbols)) if (symbols[i - 1], symbols[i]) not in inside]
         return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)])]
 
@@ -126,7 +135,7 @@ class Encoder:
         """Ids of a word written in byte symbols."""
         parts, out = self.fragments(symbols), []
         for k, part in enumerate(parts):
-            ids = [self.vocab[c] for c in part]
+            ids = [*map(self.vocab.__getitem__, part)]
             if k == len(parts) - 1:
                 ids[-1] = self.vocab[part[-1] + self.end]
             out += self.merge(ids)
@@ -138,13 +147,19 @@ class Encoder:
             return [i for piece, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text)) for i in self.word(piece)]
         text = unicodedata.normalize("NFC", text)
         lower = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()  # no final form by context
+        if lower.isalpha():
+            found = [lower]
+        elif lower[-1:] in SIGNS and lower[:-1].isalpha():
+            found = [lower[:-1], lower[-1:]]
+        else:
+            found = self.pattern.findall(lower)
         out, pieces = [], self.pieces
-        for piece in self.pattern.findall(lower):
+        for piece in found:
             ids = pieces.get(piece)
             if ids is None:
                 ids = self.word(piece if piece.isascii() and piece.isprintable() else "".join([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]))
                 if len(piece) <= CACHE_CHARS:
-                    if len(pieces) >= CACHE_WORDS:
+                    if len(pieces) >= CACHE_BYTES // 300:
                         pieces.clear()
                     pieces[piece] = ids
             out += ids
@@ -158,9 +173,10 @@ class Encoder:
             found = len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
             if len(text) > CACHE_CHARS:
                 return found
-        if len(self.young) >= CACHE_WORDS:
-            self.young, self.old = {}, self.young
+        if self.taken >= CACHE_BYTES:
+            self.young, self.old, self.taken = {}, self.young, 0
         self.young[text] = found
+        self.taken += 400 + len(text) + len(found[1]) + 2 * len(found[2])
         return found
 
     def joined(self, text: str) -> tuple[int, str, str]:
@@ -179,6 +195,24 @@ class Encoder:
         n, ids, tokens = zip(*parts) if parts else ((), (), ())
         return sum(n), " ".join(ids), " ".join(tokens)
 
+    def count(self, text: str) -> int:
+        """Number of ids of a whole text; only counts are remembered."""
+        if self.cut and "<" in text and self.cut.search(text):
+            return sum(1 if x in self.special else self.count(x) for x in self.cut.split(text))
+        if ODD_SPACE.search(text):
+            return len(self.plain(text))
+        total, counts = 0, self.counts
+        for c in text.split():
+            n = counts.get(c)
+            if n is None:
+                n = len(self.plain(c))
+                if len(c) <= CACHE_CHARS:
+                    if len(counts) >= CACHE_BYTES // 200:
+                        counts.clear()
+                    counts[c] = n
+            total += n
+        return total
+
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for x in self.joined(text or "")[1].split()]
 
@@ -198,18 +232,18 @@ def encoder(path: str) -> Encoder:
 
 
 def mapped(docs: DataFrame, path: str, schema: str, fn) -> DataFrame:
-    """doc_id and what fn(encoder, text) returns as a tuple, text by text; memory holds a batch."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    frame = docs.select("doc_id", "text")
+    """doc_id and what fn(encoder, text) returns as a tuple, text by text."""
+    names, kinds = zip(*(x.strip().split() for x in schema.split(",")))
+    arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            rows = [fn(enc, t.as_py() or "") for t in batch.column(1)]
-            cols = list(zip(*rows)) if rows else [[] for _ in names[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols]], names=names)
+        for whole in batches:
+            for batch in by_bytes(whole, 1, BATCH_BYTES):
+                cols = zip(*(fn(enc, t.as_py() or "") for t in batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, arrow[k]) for c, k in zip(cols, kinds[1:])]], names=names)
 
-    return frame.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _digest(enc: Encoder, text: str) -> tuple[int, str, str]:
@@ -217,17 +251,19 @@ def _digest(enc: Encoder, text: str) -> tuple[int, str, str]:
     return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _coded(enc: Encoder, text: str) -> tuple[np.ndarray, str]:
+    _, ids, decoded = enc.joined(text)
+    return np.fromstring(ids, np.int32, sep=" "), decoded
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int), decoded."""
-    frame = docs.select("doc_id", "text")
+    return mapped(docs, path, "doc_id long, ids array<int>, decoded string", _coded)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            ids = [enc.encode(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return frame.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+def counts(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens."""
+    return mapped(docs, path, "doc_id long, n_tokens long", lambda enc, text: (enc.count(text),))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

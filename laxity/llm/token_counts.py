@@ -5,7 +5,8 @@ limit, the documents and tokens in all, those beyond the limit, and the totals a
 The histogram has one row for each length that occurs; its suffix sums are added up from blocks of BLOCK lengths, so
 that no task holds all of it.
 
-Defined results: null and empty texts have length 0; repeated rows count each; an empty table gives an empty histogram.
+Defined results: null and empty texts have length 0; repeated rows count each; an empty table gives an empty histogram, and at_limit() and
+quantile() a row of nulls; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bpe import default_path, mapped
+from .bpe import counts, default_path
 from .common import stored, table
 
 BLOCK = 4096
@@ -59,5 +60,4 @@ def at_limit(sums: DataFrame, limit: int) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = mapped(table(spark, sf_dir, "documents"), default_path(), "doc_id long, n_tokens long", lambda enc, text: (enc.joined(text)[0],))
-    return suffix_sums(histogram(lengths))
+    return suffix_sums(histogram(counts(table(spark, sf_dir, "documents"), default_path())))

@@ -9,19 +9,22 @@ shingles among the first n - ceil(t n) + c of each.
 The boundary is the one of least cost: subsets written against entries written and scanned, by the histogram of small
 sizes and the mean length of the lists.
 
-Within a list or subset - in pairs of blocks of about BLOCK members where it is long - bit vectors bound the overlap of two sets from above;
-pairs that pass tie sets into clusters, and only a spanning forest of them leaves a task, so that no list is expanded into its
-pairs. Two linked sets are in one cluster. The whole sets of a cluster meet in one place, again in pairs of blocks, and pairs that are not yet connected are
-verified exactly, the nearest first. What leaves is a spanning forest of verified links; its components are the result.
+Lists are dealt out in pairs of blocks of BLOCK members where they are long. Within one, vectors of counts bound the difference of two sets
+from below; pairs that pass tie sets into clusters, and only a spanning forest of them leaves a task, so that no list is expanded into
+its pairs. Two linked sets are in one cluster. Then links are verified on whole sets:
+  First each set meets the nearest one that it is tied to: it is sent once, and once more for each BLOCK sets that it is the nearest of.
+  Where these links leave several parts of a cluster, sets of different parts meet in pairs of blocks, those of the largest part
+  with the others only, and pairs that are not yet connected are verified, the nearest first.
+The components of the verified links are the result. No task holds more than a pair of blocks.
 
 Defined results: null and empty texts, and those without words, have an empty set, linked with nothing: their component
 is their own doc_id. Fewer than WORDS words make one shingle. Rows that repeat get a row each; equal sets are one class.
 Rows with one doc_id and different texts are apart. An empty table gives an empty result. Other columns are not read.
+drop_near() keeps all rows that are equal in doc_id and text to the one that stays, and all without a set.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -29,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_stored, partitions, stored, table
+from .common import broadcast_if_small, drop_stored, packed, partitions, stored, table
 from .components import components
 
 WORDS = 5
@@ -40,8 +43,16 @@ WORDS = 5
 NUMER, DENOM = 4, 5
 SLOTS, PARTS = 1 << 22, 256
 SMALL_MOST = 64
-BITS = 1024
-BLOCK = 2000
+#: Slots of the counts that go along in lists, and shingles of a set for each slot at most.
+COUNTS, LOAD = 256, 10
+#: Parities by which whole sets are compared first.
+BITS = 4096
+#: Members of a list or of a part of a cluster that are a block, and bytes of whole sets.
+BLOCK, BLOCK_BYTES = 2000, 32 << 20
+#: Rows of lists that are looked at together.
+CHUNK = 100_000
+#: Members of clusters, held as a narrow row each, up to which they are broadcast.
+MEMBERS = 300_000
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,26 +85,57 @@ def need(n: int) -> int:
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
     return DENOM * both >= NUMER * (len(a) + len(b) - both)
 
 
 def bits(s: np.ndarray, size: int) -> np.ndarray:
-    flags = np.zeros(size, np.uint8)
-    flags[(s >> np.uint64(22)) % np.uint64(size)] = 1
-    return np.packbits(flags).view(np.uint64)
+    """Parities of the number of shingles in each of `size` slots. Two sets differ in at least as many shingles as their parities differ."""
+    return np.packbits((np.bincount(((s >> np.uint64(22)) % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def counted(s: np.ndarray) -> bytes:
+    """Number of shingles in each slot, modulo 16, two slots a byte. Two sets differ in at least as many shingles as their counts differ by."""
+    size = COUNTS
+    while size * LOAD < len(s):
+        size *= 2
+    c = (np.bincount(((s >> np.uint64(22)) % np.uint64(size)).astype(np.int64), minlength=size) & 15).astype(np.uint8)
+    return (c[0::2] | (c[1::2] << 4)).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    a = np.frombuffer(data, np.uint8)
+    return np.column_stack([a & 15, a >> 4]).ravel()
+
+
+def folded(c: np.ndarray, size: int) -> np.ndarray:
+    """Counts of a set in fewer slots."""
+    while len(c) > size:
+        c = (c[: len(c) // 2] + c[len(c) // 2 :]) & 15
+    return c
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how much counts differ, a row each."""
+    d = (a - b) & 15
+    return np.minimum(d, 16 - d).sum(-1, dtype=np.int64)
+
+
+def text_key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """did, cls, n, th, bits for each document; at the end part, counts: how many sets of this task have a shingle in each slot."""
-    names, counts, seen = ["did", "cls", "n", "th", "bits", "part", "counts"], np.zeros(SLOTS, np.uint32), set()
+    """did, cls, n, th, counts for each document; at the end part, sums: how many sets of this task have a shingle in each slot."""
+    names, counts, seen = ["did", "cls", "n", "th", "counts", "part", "sums"], np.zeros(SLOTS, np.uint32), set()
     for batch in batches:
         rows = []
         for t in batch.column(1).cast(pa.binary()):
             text = t.as_py() or b""
             s = shingles(text)
             cls = digest(s.tobytes()) if len(s) else None
-            rows.append((cls, len(s), digest(text), bits(s, BITS).tobytes() if len(s) else None))
+            rows.append((cls, len(s), hashlib.sha256(text).digest()[:16], counted(s) if len(s) else None))
             if cls and cls not in seen:
                 if len(seen) >= 1 << 20:
                     seen.clear()
@@ -152,97 +194,161 @@ def signatures(s: np.ndarray, level: np.ndarray, edge: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (sig, c1), those whose sig has two c1 or more, each once, with their number k."""
-    sig, c1 = [], []
-    for b in batches:
-        sig.append(b.column(0).to_numpy(zero_copy_only=False))
-        c1.append(b.column(1).to_numpy(zero_copy_only=False))
-    if not sig:
-        return
-    s, c = np.concatenate(sig), np.concatenate(c1)
-    order = np.lexsort((c, s))
-    s, c = s[order], c[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-    s, c = s[new], c[new]
-    _, at, k = np.unique(s, return_inverse=True, return_counts=True)
-    keep = k[at] > 1
-    s, c, k = s[keep], c[keep], k[at][keep]
-    for i in range(0, len(s), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000], pa.int64()) for x in (s, c, k)], names=["sig", "c1", "k"])
+def _lists(block: int):
+    """Rows sorted by sig, c1 -> sig, c1, own (number of the row's block) of lists of two or more c1; a row without c1 says how many blocks a list of several has."""
+    schema = pa.schema([("sig", pa.int64()), ("c1", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32())])
 
+    def tails(sig: list, n: list) -> Iterator[pa.RecordBatch]:
+        if found := [{"sig": int(s), "blocks": -(-int(k) // block)} for s, k in zip(sig, n) if k > block]:
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sig, lo, hi, own, cls, n, bits -> a, b: a spanning forest of the pairs within a list that the bit vectors let pass."""
-    ids: dict[bytes, int] = {}
-    size, flags, keys, who = [], [], [], []
-    for b in batches:
-        keys.append(np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]))
-        at = np.empty(b.num_rows, np.int64)
-        for j, (cls, n, data) in enumerate(zip(*(b.column(i).to_pylist() for i in (4, 5, 6)))):
-            at[j] = k = ids.setdefault(cls, len(ids))
-            if k == len(size):
-                size.append(n)
-                flags.append(data)
-        who.append(at)
-    if len(ids) < 2:
-        return
-    names, n, vectors = list(ids), np.array(size), np.frombuffer(b"".join(flags), np.uint64).reshape(len(ids), -1)
-    key, at = np.concatenate(keys), np.concatenate(who)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, c, n = None, None, 0  # of the list that is open: its last c1, and how many it has
+        for b in batches:
+            s, c1 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (c1[1:] != c1[:-1])
+            if n and len(s):
+                new[0] = s[0] != sig or c1[0] != c
+            s, c1 = s[new], c1[new]
+            if not len(s):
+                continue
+            if n == 1:  # a first row has been held back
+                s, c1, n = np.r_[sig, s], np.r_[c, c1], 0
+            elif s[0] != sig:
+                yield from tails([sig], [n])
+                n = 0
+            at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.r_[at, len(s)])
+            place = np.arange(len(s)) - np.repeat(at, size)
+            place[: size[0]] += n
+            total = size.copy()
+            total[0] += n
+            keep = np.repeat(total > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(c1[keep]), pa.array((place[keep] // block).astype(np.int32)), pa.nulls(int(keep.sum()), pa.int32())], schema=schema)
+            yield from tails(s[at[:-1]], total[:-1])
+            sig, c, n = s[-1], c1[-1], int(total[-1])
+        yield from tails([sig], [n])
+
+    return run
+
+
+def _root(top: list, x: int) -> int:
+    while top[x] != x:
+        top[x] = top[top[x]]
+        x = top[x]
+    return x
+
+
+def tied(key: np.ndarray, at: np.ndarray, n: np.ndarray, counts: list[np.ndarray]) -> Iterator[tuple[int, int, float]]:
+    """key: sig, lo, hi, own of each row; at: its set -> pairs of sets and how far they are apart: a spanning forest of the pairs within a list that the counts let pass."""
+    vectors, width = np.array([folded(c, COUNTS) for c in counts]), np.array([len(c) for c in counts])
     order = np.lexsort((at, key[:, 2], key[:, 1], key[:, 0]))
     key, at = key[order], at[order]
     same = (key[1:, :3] == key[:-1, :3]).all(1)
-    group = np.r_[0, np.cumsum(~same)]
+    group, starts = np.r_[0, np.cumsum(~same)], np.r_[0, np.flatnonzero(~same) + 1]
     last = np.r_[np.flatnonzero(~same), len(at) - 1][group]  # place of the last row of each row's list
     cross = key[:, 1] != key[:, 2]  # rows of two different blocks: only pairs across
-    label, out, step, left = np.arange(len(ids)), [], 1, np.arange(len(at))
+    label, step, left = np.arange(len(n)), 1, np.arange(len(at))
     while True:
         left = left[left + step <= last[left]]
         if not len(left):
-            break
+            return
         i, j = at[left], at[left + step]
         ok = (label[i] != label[j]) & (DENOM * np.minimum(n[i], n[j]) >= NUMER * np.maximum(n[i], n[j]))
         ok &= ~cross[left] | (key[left, 3] != key[left + step, 3])
-        i, j = i[ok], j[ok]
-        if len(i):
-            pairs = np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j))
-            i, j = pairs // len(ids), pairs % len(ids)
-            for k in range(0, len(i), 100_000):
-                p, q = i[k : k + 100_000], j[k : k + 100_000]
-                far = np.bitwise_count(vectors[p] ^ vectors[q]).sum(1, dtype=np.int64)
-                ok = (NUMER + DENOM) * far <= (DENOM - NUMER) * (n[p] + n[q])
-                top = label.tolist() if ok.any() else []
-
-                def root(x: int, top: list = top) -> int:
-                    while top[x] != x:
-                        top[x] = top[top[x]]
-                        x = top[x]
-                    return x
-
-                for x, y in zip(p[ok].tolist(), q[ok].tolist()):
-                    u, v = root(x), root(y)
-                    if u != v:
-                        top[max(u, v)] = min(u, v)
-                        out.append((names[x], names[y]))
-                if top:
-                    label = np.array(top)
-                    while (label[label] != label).any():
-                        label = label[label]
+        pairs = np.unique(np.minimum(i[ok], j[ok]) * len(n) + np.maximum(i[ok], j[ok]))
+        merged = False
+        for k in range(0, len(pairs), CHUNK):
+            p, q = pairs[k : k + CHUNK] // len(n), pairs[k : k + CHUNK] % len(n)
+            far = apart(vectors[p], vectors[q])
+            ok = (NUMER + DENOM) * far <= (DENOM - NUMER) * (n[p] + n[q])
+            for m in np.flatnonzero(ok & (width[p] > COUNTS) & (width[q] > COUNTS)):
+                u, v = counts[p[m]], counts[q[m]]
+                far[m] = apart(folded(u, len(v)), folded(v, len(u)))
+                ok[m] = (NUMER + DENOM) * far[m] <= (DENOM - NUMER) * (n[p[m]] + n[q[m]])
+            if not ok.any():
+                continue
+            merged, top = True, label.tolist()
+            p, q, far = p[ok], q[ok], far[ok] / (n[p[ok]] + n[q[ok]])
+            for m in np.argsort(far, kind="stable").tolist():
+                u, v = _root(top, int(p[m])), _root(top, int(q[m]))
+                if u != v:
+                    top[max(u, v)] = min(u, v)
+                    yield int(p[m]), int(q[m]), float(far[m])
+            label = np.array(top)
+            while (label[label] != label).any():
+                label = label[label]
+        if merged:  # lists that are of one label are done
+            held = label[at]
+            open_lists = np.minimum.reduceat(held, starts) != np.maximum.reduceat(held, starts)
+            left = left[open_lists[group[left]]]
         step += 1
-    for k in range(0, len(out), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[k : k + 20_000]], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
-def forest(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None) -> Iterator[tuple[bytes, bytes]]:
-    """A spanning forest of the links among the sets of left, or between those of left and right."""
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sig, lo, hi, own, cls, n, counts, sorted by sig, lo, hi -> a, b, far. Memory holds CHUNK rows or one list."""
+
+    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cls = rows["cls"].combine_chunks().dictionary_encode()
+        names, at = cls.dictionary, cls.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, first = np.unique(at, return_index=True)
+        if len(first) < 2:
+            return
+        key = np.column_stack([rows[c].to_numpy().astype(np.int64) for c in ("sig", "lo", "hi", "own")])
+        counts = [unpacked(x) for x in rows["counts"].take(pa.array(first)).to_pylist()]
+        found = list(tied(key, at, rows["n"].to_numpy()[first], counts))
+        for k in range(0, len(found), 20_000):
+            a, b, far = zip(*found[k : k + 20_000])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(far, pa.float64())], names=["a", "b", "far"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= CHUNK:
+            rows = pa.Table.from_batches(held)
+            key = [rows[c].to_numpy() for c in ("sig", "lo", "hi")]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            if len(cuts):
+                yield from flush(rows.slice(0, int(cuts[-1])))
+                held = rows.slice(int(cuts[-1])).to_batches()
+                size = sum(x.num_rows for x in held)
+    if size:
+        yield from flush(pa.Table.from_batches(held))
+
+
+def _set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows hub, salt, kind, cls, set, sorted; the hub's own row (kind 0) first -> links a, b of the hub with the others. Memory holds the hub's set."""
+    hub, whole = None, None
+    for b in batches:
+        found = []
+        for i, (key, kind, cls) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 3)))):
+            if not kind:
+                hub, whole = key, _set(b.column(4)[i].as_py())
+            elif key == hub and links(whole, _set(b.column(4)[i].as_py())):
+                found.append((hub, cls))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def forest(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[bytes, bytes]]:
+    """(cls, part, set) -> a spanning forest of the links among the sets of left, or between those of left and right; sets of one part are connected already."""
     rows = left + (right or [])
     first = len(left) if right is not None else 0
-    vectors, n = np.array([bits(s, 4 * BITS) for _, s in rows]), np.array([len(s) for _, s in rows])
-    top, found = list(range(len(rows))), []
+    n = np.array([len(s) for _, _, s in rows])
+    size = BITS
+    while size < n.max() / 2:  # a pair that links may differ in 2 n / 9; parities of unlike sets differ in up to size / 2
+        size *= 2
+    vectors = np.array([bits(s, size) for _, _, s in rows])
+    _, part = np.unique(np.array([p for _, p, _ in rows], object), return_inverse=True)
+    top, found = list(range(part.max() + 1)), []
     for i in range(len(left)):
         j = np.arange(max(first, i + 1), len(rows))
-        j = j[DENOM * np.minimum(n[i], n[j]) >= NUMER * np.maximum(n[i], n[j])]
+        j = j[(part[j] != part[i]) & (DENOM * np.minimum(n[i], n[j]) >= NUMER * np.maximum(n[i], n[j]))]
         if len(j):
             far = np.bitwise_count(vectors[i] ^ vectors[j]).sum(1, dtype=np.int64)
             ok = (NUMER + DENOM) * far <= (DENOM - NUMER) * (n[i] + n[j])
@@ -250,62 +356,60 @@ def forest(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.nda
     if not found:
         return
     a, b, far = (np.concatenate(z) for z in zip(*found))
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
     for k in np.argsort(far, kind="stable"):
-        p, q = root(a[k]), root(b[k])
-        if p != q and links(rows[a[k]][1], rows[b[k]][1]):
+        p, q = _root(top, part[a[k]]), _root(top, part[b[k]])
+        if p != q and links(rows[a[k]][2], rows[b[k]][2]):
             top[p] = q
             yield rows[a[k]][0], rows[b[k]][0]
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cluster, lo, hi -> verified links a, b. Memory holds one pair of blocks."""
+    """Rows cluster, lo, hi, own, part, cls, set, sorted by cluster, lo, hi -> verified links a, b. Memory holds one pair of blocks."""
     key, rows = None, {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
         _, lo, hi = key
-        left = [(c, s) for c, (own, s) in rows.items() if own == lo]
-        right = None if lo == hi else [(c, s) for c, (own, s) in rows.items() if own == hi]
-        out = list(forest(left, right))
+        side = lambda block: [(c, part, s) for c, (own, part, s) in rows.items() if own == block]
+        out = list(forest(side(lo), None if lo == hi else side(hi)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     for b in batches:
-        for cluster, lo, hi, own, cls, data in zip(*(b.column(i).to_pylist() for i in range(6))):
+        for i, (cluster, lo, hi, own, part, cls) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)))):
             if key != (cluster, lo, hi):
                 yield from flush()
                 key, rows = (cluster, lo, hi), {}
-            rows[cls] = (own, np.frombuffer(data, np.uint64))
+            rows[cls] = (own, part, _set(b.column(6)[i].as_py()))
     yield from flush()
 
 
-def blocked(rows: DataFrame) -> DataFrame:
-    """rows (with cls and blocks) once for each pair of blocks lo, hi that their own block is in."""
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+def _sent(docs: DataFrame, members: DataFrame, targets: str, most: int) -> DataFrame:
+    """members (cls, _did, to: array of targets) -> a row for each target with cls and the whole set of the class, made from the texts of docs again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, cls, to in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), b.column(2)):
+                data = shingles(text.as_py()).tobytes()
+                if digest(data) == cls:  # else another text of this doc_id
+                    to = to.values
+                    for k in range(0, len(to), max(1, BLOCK_BYTES // len(data))):
+                        some = to.slice(k, max(1, BLOCK_BYTES // len(data)))
+                        yield pa.RecordBatch.from_arrays([some, pa.array([cls] * len(some), pa.binary()), pa.array([data] * len(some), pa.binary())], names=["to", "cls", "set"])
 
-def free(spark: SparkSession) -> None:
-    """Shuffle files of tables that are stored by now go when the driver's references to them do."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    rows = docs.select("doc_id", "text").join(broadcast_if_small(members, members.count(), most), F.col("doc_id").eqNullSafe(F.col("_did")))
+    return rows.select("text", "cls", "to").mapInArrow(run, f"to {targets}, cls binary, set binary").select("to.*", "cls", "set")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: did (doc_id), th (digest of the text), n (size of the set), component_id, first (stands for its group)."""
+def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> DataFrame:
+    """One row per document: did (doc_id), th (key of the text), n (size of the set), component_id, first (stands for its group)."""
     spark = docs.sparkSession
+    n_parts = partitions(spark)
     frame = docs.select("doc_id", "text")
-    profile = stored(frame.mapInArrow(_profile, "did long, cls binary, n long, th binary, bits binary, part int, counts binary"), "profile")
-    rows = profile.where("part is null").select("did", "cls", "n", "th", "bits")
-    parts = profile.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(_summed, "part int, level binary, squares double, total double").collect()
+    profile = stored(frame.mapInArrow(_profile, "did long, cls binary, n long, th binary, counts binary, part int, sums binary"), "profile")
+    rows = profile.where("part is null").select("did", "cls", "n", "th", "counts")
+    parts = profile.where("part is not null").select("part", "sums").repartition(min(PARTS, n_parts), "part").mapInArrow(_summed, "part int, level binary, squares double, total double").collect()
     levels, step = np.zeros(SLOTS, np.uint8), SLOTS // PARTS  # of fixed size, whatever the corpus
     for r in parts:
         levels[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["level"], np.uint8)
@@ -336,61 +440,72 @@ def near_groups(docs: DataFrame) -> DataFrame:
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (sig, c1)], names=["sig", "c1"])
 
-    lists = docs.select("text").mapInArrow(post, "sig long, c1 long").repartition(partitions(spark), "sig").mapInArrow(_grouped, "sig long, c1 long, k long")
-    lists = stored(lists, "lists")
-    free(spark)
-    # Copies of a class are alike in bits and size; c1 is the head of cls, and classes that share it are both taken.
-    classes = stored(rows.where("cls is not null").groupBy("cls", "n", "bits").agg(F.min(F.struct(F.col("did").isNull().alias("none"), "did", "th")).alias("first")), "classes")
+    pairs = docs.select("text").mapInArrow(post, "sig long, c1 long").repartition(n_parts, "sig").sortWithinPartitions("sig", "c1")
+    lists = stored(pairs.mapInArrow(_lists(block), "sig long, c1 long, own int, blocks int"), "lists")
+    # Copies of a class are alike in counts and size; c1 is the head of cls, and classes that share it are both taken.
+    classes = stored(rows.where("cls is not null").groupBy("cls", "n", "counts").agg(F.min(F.struct(F.col("did").isNull().alias("none"), "did", "th")).alias("first")), "classes")
     head = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
-    listed = lists.join(classes.select(head.alias("c1"), "cls", "n", "bits"), "c1")
-    tied = blocked(listed.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")))
-    tied = tied.select("sig", "lo", "hi", "own", "cls", "n", "bits").repartition(partitions(spark), "sig", "lo", "hi").mapInArrow(_tied, "a binary, b binary")
-    clusters = stored(components(tied), "clusters")
+    several = lists.where("c1 is null").select(F.col("sig").alias("_sig"), F.col("blocks").alias("_blocks"))
+    listed = lists.where("c1 is not null").join(broadcast_if_small(several, several.count()), F.col("sig") == F.col("_sig"), "left")
+    listed = listed.select("sig", "c1", "own", F.coalesce("_blocks", F.lit(1)).alias("blocks")).join(classes.select(head.alias("c1"), "cls", "n", "counts"), "c1")
+    listed = listed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    listed = listed.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "counts")
+    listed = listed.repartition(n_parts, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    ties = stored(listed.mapInArrow(_tied, "a binary, b binary, far double"), "ties")
     drop_stored(lists)
-    free(spark)
-    some = broadcast_if_small(clusters, clusters.count())
-    members = stored(classes.select("cls", F.col("first.did").alias("_did")).join(some, F.col("cls") == F.col("node")).select("cls", "_did", F.col("root").alias("cluster")), "members")
-    blocks = members.groupBy(F.col("cluster").alias("_cluster")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    wanted = members.select("_did").distinct()
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py()).tobytes() for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["_cls", "set"])
-
-    n = members.count()
-    sets = frame.join(broadcast_if_small(wanted, n), F.col("doc_id").eqNullSafe(F.col("_did")), "left_semi").select("text").mapInArrow(take, "_cls binary, set binary")
-    where = members.join(broadcast_if_small(blocks, n), F.col("cluster") == F.col("_cluster")).select("cls", "cluster", "blocks")
-    met = blocked(sets.join(broadcast_if_small(where, n), F.col("_cls") == F.col("cls"))).select("cluster", "lo", "hi", "own", "cls", "set")
-    met = met.repartition(partitions(spark), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    roots = stored(components(met.mapInArrow(_joined, "a binary, b binary")), "roots")
-    free(spark)
-
-    at = classes.select("cls", "first").join(broadcast_if_small(roots, roots.count()), F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
+    clusters = stored(components(ties.select("a", "b")), "clusters")
+
+    # Each set and the nearest that it is tied to; of two that are each other's nearest, one is the hub.
+    both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    nearest = both.groupBy("a").agg(F.min(F.struct("far", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
+    nearest = nearest.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("a").alias("cls")).select("cls", F.when(F.col("cls") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("hub"))
+    nearest = stored(nearest, "nearest")
+    hubs = nearest.groupBy(F.col("hub").alias("_hub")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
+    spokes = nearest.join(hubs, F.col("hub") == F.col("_hub")).select("cls", "hub", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
+    own = hubs.select(F.col("_hub").alias("cls"), F.col("_hub").alias("hub"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"))
+    to = spokes.unionByName(own).groupBy(F.col("cls").alias("_cls")).agg(F.collect_list(F.struct("hub", "salt", "kind")).alias("to"))
+    home = classes.select("cls", "n", F.col("first.did").alias("_did"))
+    members = stored(home.join(to, F.col("cls") == F.col("_cls")).select("cls", "_did", "to"), "members")
+    met = _sent(docs, members, "struct<hub: binary, salt: int, kind: int>", most)
+    met = met.repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+    verified = stored(components(met.mapInArrow(_verified, "a binary, b binary")), "verified")
+
+    # The parts of each cluster; where there are several, the largest and the others.
+    at = home.join(clusters.select("node", F.col("root").alias("cluster")), F.col("cls") == F.col("node")).select("cls", "n", "_did", "cluster")
+    at = stored(at.join(verified, F.col("cls") == F.col("node"), "left").select("cls", "n", "_did", "cluster", F.coalesce("root", "cls").alias("own_part")), "parts")
+    sums = at.groupBy("cluster", "own_part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
+    whole = sums.groupBy(F.col("cluster").alias("_cluster")).agg(F.max(F.struct("sets", "size", "own_part")).alias("top"), F.sum("sets").alias("sets"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("several"))
+    blocks = lambda sets, size: F.greatest(F.ceil(sets / block), F.ceil(size * 8 / BLOCK_BYTES)).cast("int")
+    whole = whole.where("several > 1").select("_cluster", F.col("top.own_part").alias("largest"), blocks(F.col("top.sets"), F.col("top.size")).alias("l"), blocks(F.col("sets") - F.col("top.sets"), F.col("size") - F.col("top.size")).alias("r"))
+    left = at.join(whole, F.col("cluster") == F.col("_cluster")).withColumn("inside", F.col("own_part") == F.col("largest"))
+    left = left.withColumn("own", F.expr("if(inside, pmod(xxhash64(cls), l), l + pmod(xxhash64(cls), r))").cast("int"))
+    left = left.withColumn("others", F.expr("sequence(if(inside, l, 0), l + r - 1)"))
+    left = stored(left.select("cls", "_did", F.expr("transform(others, o -> named_struct('cluster', cluster, 'lo', least(own, o), 'hi', greatest(own, o), 'own', own, 'part', own_part))").alias("to")), "left")
+    met = _sent(docs, left, "struct<cluster: binary, lo: int, hi: int, own: int, part: binary>", most)
+    met = met.repartition(n_parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    more = stored(met.mapInArrow(_joined, "a binary, b binary"), "more")
+    part_of = at.select(F.col("cls").alias("_c"), F.col("own_part").alias("_p"))
+    for c in ("a", "b"):
+        more = more.join(part_of, F.col(c) == F.col("_c")).select(*[F.col("_p").alias(x) if x == c else x for x in ("a", "b")])
+    joined = stored(components(more), "joined")
+    roots = at.join(joined, F.col("own_part") == F.col("node"), "left").select(F.col("cls").alias("node"), F.coalesce("root", "own_part").alias("root"))
+
+    at = classes.select("cls", "first").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
     at = stored(at, "at")
     firsts = at.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("best"))
     at = stored(at.join(firsts, F.col("root") == F.col("_root")).select(F.col("cls").alias("_cls"), "best"), "groups")
-    free(spark)
+    for gone in (ties, clusters, nearest, members, verified, left, joined, classes):
+        drop_stored(gone)
     full = rows.where("cls is not null").join(at, F.col("cls") == F.col("_cls"))
     full = full.select("did", "th", "n", F.col("best.did").alias("component_id"), (F.col("did").eqNullSafe(F.col("best.did")) & (F.col("th") == F.col("best.th"))).alias("first"))
     return full.unionByName(rows.where("cls is null").select("did", "th", "n", F.col("did").alias("component_id"), F.lit(True).alias("first")))
 
 
-def drop_near(docs: DataFrame, bound: int = 300_000) -> DataFrame:
+def drop_near(docs: DataFrame, bound: int = MEMBERS) -> DataFrame:
     """docs, with all their columns, without the documents that another one of their group stands for."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs_names.index("text")
-        for b in batches:
-            th = pa.array([digest(t.as_py() or b"") for t in b.column(at).cast(pa.binary())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, th], names=[*docs_names, "_th"])
-
-    from pyspark.sql import types as T
-
-    docs_names = docs.columns
-    away = stored(near_groups(docs).where(~F.col("first")).select(F.col("did").alias("_did"), F.col("th").alias("_t")).distinct(), "away")
-    marked = docs.mapInArrow(digests, T.StructType([*docs.schema.fields, T.StructField("_th", T.BinaryType())]))
-    return marked.join(broadcast_if_small(away, away.count(), bound), F.col("doc_id").eqNullSafe(F.col("_did")) & (F.col("_th") == F.col("_t")), "left_anti").drop("_th")
+    away = stored(near_groups(docs).where(~F.col("first")).select(F.col("did").alias("_did"), F.col("th").alias("_th")).distinct(), "away")
+    rows = packed(docs, text_key(F.col("text")))
+    return rows.join(broadcast_if_small(away, away.count(), bound), F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_key") == F.col("_th")), "left_anti").select("_row.*")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ p(w | v) = a2 c(v, w) / c(v) + a1 c(w) / N + a0 / (V + 1), where the weights a d
 learned by expectation-maximisation on held-out counts: each token of the tuning documents (crc32(doc_id) mod 10 = 1) is deleted from the
 counts that predict it. Counts are exact and over all training documents (crc32(doc_id) mod 10 <> 0).
 
-A task packs its documents into blocks of about BLOCK tokens and sends, for each block, its distinct words and pairs with their
+A task packs its documents into blocks of about BLOCK tokens, which are stored. Each block sends its distinct words and pairs with their
 counts, split by hash into ranges. A range adds up the counts of all blocks and answers each block with the totals of its keys; a
 block then scores its documents. What moves is packed arrays of distinct keys, so that a word or pair with a third of all tokens is one entry
-a block; no table of words is broadcast or collected.
+a block; no table of words is broadcast or collected. A task holds one range or one block at a time.
+For EM, the tuning tokens' probabilities are rounded to quarters of a power of ten, so that a table of fixed size holds them (the loss against
+exact probabilities is tested).
 
 Defined results: null and empty texts have the end alone; a null doc_id counts as the empty string for the split; rows that repeat are scored and counted each.
 Without training tokens every token has probability 1 of 1 (N = 0, V = 0: base 0.1 / 0.1), the model's 1 / (V + 1). An empty table gives an empty result.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, stored, table
-from .ngram_join import MUL, free, mix
+from .ngram_join import MUL, mix
 
 BLOCK = 700_000
 #: Documents for which one range more is made.
@@ -37,9 +39,10 @@ END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
 BUCKETS = 26
 CELLS = 48
 
-PACKED = "block long, tune boolean, kind string, part int, keys binary, counts binary, ids binary, lens binary, tokens binary, words binary, ranks binary"
-NAMES = [x.split()[0] for x in PACKED.split(", ")]
-KINDS = pa.schema([("block", pa.int64()), ("tune", pa.bool_()), ("kind", pa.string()), ("part", pa.int32()), *[(n, pa.binary()) for n in NAMES[4:]]])
+PACKED = "block long, tune boolean, ids binary, nulls binary, lens binary, tokens binary, words binary, ranks binary"
+BLOCKS = pa.schema([("block", pa.int64()), ("tune", pa.bool_()), *[(n, pa.binary()) for n in ("ids", "nulls", "lens", "tokens", "words", "ranks")]])
+ASKED = "kind string, part int, block long, tune boolean, keys binary, counts binary"
+ASKS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("block", pa.int64()), ("tune", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -83,51 +86,66 @@ def _pairs(at: np.ndarray, lens: np.ndarray, uni: np.ndarray) -> tuple[np.ndarra
     return first, second, token, keys, np.argsort(keys, kind="stable")
 
 
-def pack(ids: list, docs: list[np.ndarray], tune: bool, ranges: int) -> Iterator[pa.RecordBatch]:
-    """A block's rows: kind d, the documents as indices of words; u and b, the words and pairs of each range with their training counts."""
+def pack(ids: list, docs: list[np.ndarray], tune: bool) -> pa.RecordBatch:
+    """A block: its documents as indices of words, frequent words with small numbers, which pack well."""
     lens = np.array([len(d) for d in docs], np.int64)
-    train = np.repeat(np.array([fold_of(i) != 0 for i in ids]), lens)
     words = np.concatenate(docs)
     docs.clear()
     uni, at = np.unique(words, return_inverse=True)
     del words
-    _, _, token, keys, order = _pairs(at, lens, uni)
-    rank = np.argsort(-np.bincount(at, minlength=len(uni)), kind="stable").astype(np.int32)  # frequent words get small numbers, which pack well
+    rank = np.argsort(-np.bincount(at, minlength=len(uni)), kind="stable").astype(np.int32)
     place = np.empty(len(uni), np.int32)
     place[rank] = np.arange(len(uni), dtype=np.int32)
-    block = uuid.uuid4().int >> 65
     some = np.array([0 if i is None else i for i in ids], np.int64)
     null = np.array([i is None for i in ids])
-    row = {"block": block, "tune": tune, "kind": "d", "ids": _zip(some), "keys": null.tobytes(), "lens": _zip(lens), "tokens": _planes(place[at]), "words": _code(uni), "ranks": _planes(rank)}
-    yield pa.RecordBatch.from_pylist([row], schema=KINDS)
+    row = {"block": uuid.uuid4().int >> 65, "tune": tune, "ids": _zip(some), "nulls": null.tobytes(), "lens": _zip(lens), "tokens": _planes(place[at]), "words": _code(uni), "ranks": _planes(rank)}
+    return pa.RecordBatch.from_pylist([row], schema=BLOCKS)
+
+
+def _ids(d: dict) -> list[int | None]:
+    return [None if z else int(i) for i, z in zip(_unzip(d["ids"], np.int64), np.frombuffer(d["nulls"], bool))]
+
+
+def _opened(d: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's row: the lengths of its documents, its distinct words, the word of each token."""
+    return _unzip(d["lens"], np.int64), _decode(d["words"]), _whole(d["ranks"], np.int32)[_whole(d["tokens"], np.int32)]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+    size = {True: 0, False: 0}
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            words = (t.as_py() or b"").lower().split()
+            h = np.empty(len(words) + 1, np.uint64)
+            h[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            h[-1] = END
+            tune = fold_of(i) == 1
+            held[tune][0].append(i)
+            held[tune][1].append(h)
+            size[tune] += len(h)
+            if size[tune] >= BLOCK:
+                yield pack(*held[tune], tune)
+                held[tune], size[tune] = ([], []), 0
+    for tune in (True, False):
+        if size[tune]:
+            yield pack(*held[tune], tune)
+
+
+def _asked(ranges: int):
+    """Blocks -> the words (kind u) and pairs (kind b) of each, with their training counts, range by range."""
     shift = np.uint64(64 - (ranges.bit_length() - 1))
-    for kind, key, count in (("u", uni, np.bincount(at[train], minlength=len(uni))), ("b", keys[order], np.bincount(token[train], minlength=len(keys))[order])):
-        cuts = np.searchsorted(key >> shift, np.arange(ranges + 1, dtype=np.uint64))
-        rows = [{"block": block, "tune": tune, "kind": kind, "part": g, "keys": _code(key[a:b]), "counts": _planes(count[a:b].astype(np.uint32))} for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-        yield pa.RecordBatch.from_pylist(rows, schema=KINDS)
 
-
-def _packed(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
-        size = {True: 0, False: 0}
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                words = (t.as_py() or b"").lower().split()
-                h = np.empty(len(words) + 1, np.uint64)
-                h[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                h[-1] = END
-                tune = fold_of(i) == 1
-                held[tune][0].append(i)
-                held[tune][1].append(h)
-                size[tune] += len(h)
-                if size[tune] >= BLOCK:
-                    yield from pack(*held[tune], tune, ranges)
-                    held[tune], size[tune] = ([], []), 0
-            pa.default_memory_pool().release_unused()
-        for tune in (True, False):
-            if size[tune]:
-                yield from pack(*held[tune], tune, ranges)
+        for b in batches:
+            for d in b.to_pylist():
+                lens, uni, at = _opened(d)
+                train = np.repeat(np.array([fold_of(i) != 0 for i in _ids(d)]), lens)
+                _, _, token, keys, order = _pairs(at, lens, uni)
+                for kind, key, count in (("u", uni, np.bincount(at[train], minlength=len(uni))), ("b", keys[order], np.bincount(token[train], minlength=len(keys))[order])):
+                    cuts = np.searchsorted(key >> shift, np.arange(ranges + 1, dtype=np.uint64))
+                    rows = [{"kind": kind, "part": g, "block": d["block"], "tune": d["tune"], "keys": _code(key[x:y]), "counts": _planes(count[x:y].astype(np.uint32))} for g, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+                    yield pa.RecordBatch.from_pylist(rows, schema=ASKS)
 
     return run
 
@@ -168,8 +186,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     def whole(d: dict, found: dict[str, list]) -> tuple:
         cu, cb = (np.concatenate(found[k]).astype(float) for k in "ub")
-        lens = _unzip(d["lens"], np.int64)
-        first, second, token, _, order = _pairs(_whole(d["ranks"], np.int32)[_whole(d["tokens"], np.int32)], lens, _decode(d["words"]))
+        lens, uni, at = _opened(d)
+        first, second, token, _, order = _pairs(at, lens, uni)
         pair = np.empty(len(cb))
         pair[order] = cb
         return d, lens, token, cu[first], cu[second], pair
@@ -191,8 +209,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _met(docs: DataFrame, replies: DataFrame) -> DataFrame:
     """Documents and replies of a block, together and in order."""
-    names = ["ids", "keys", "lens", "tokens", "words", "ranks"]
-    left = docs.select("block", "kind", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("totals"), *names)
+    names = ["ids", "nulls", "lens", "tokens", "words", "ranks"]
+    left = docs.select("block", F.lit("d").alias("kind"), F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("totals"), *names)
     right = replies.select("block", "kind", "part", "totals", *[F.lit(None).cast("binary").alias(n) for n in names])
     rows = left.unionByName(right)
     return rows.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "kind", "part")
@@ -264,8 +282,7 @@ def _scores(weights: np.ndarray, total: int, words: int):
             base = np.log10((word + 0.1) / (total + 0.1 * (words + 1)))
             at = np.r_[0, np.cumsum(lens)[:-1]]
             added = lambda x: np.add.reduceat(x[token], at)
-            null, ids = np.frombuffer(d["keys"], bool), _unzip(d["ids"], np.int64)
-            out_ids = [None if z else int(i) for i, z in zip(ids, null)]
+            out_ids = _ids(d)
             held = [fold_of(i) == 0 for i in out_ids]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out_ids, pa.int64()), pa.array(held), pa.array(lens), pa.array(added((word > 0).astype(np.int64))), pa.array(np.full(len(lens), total)), pa.array(added(base)), pa.array(added(np.log10(p)))],
@@ -279,18 +296,14 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = docs.select("doc_id").count()
     ranges = 1 << min(16, max(6, (n // RANGE_DOCS).bit_length()))
-    packed = stored(docs.select("doc_id", "text").mapInArrow(_packed(ranges), PACKED), "packed")
-    asked = packed.where("kind <> 'd'").select("kind", "part", "block", "tune", "keys", "counts")
-    asked = asked.repartition(2 * ranges, "kind", "part").sortWithinPartitions("kind", "part")
+    packed = stored(docs.select("doc_id", "text").mapInArrow(_packed, PACKED), "packed")
+    asked = packed.mapInArrow(_asked(ranges), ASKED).repartition(partitions(spark), "kind", "part").sortWithinPartitions("kind", "part")
     replies = stored(asked.mapInArrow(_answered, REPLY), "replies")
-    free(spark)
-    own = packed.where("kind = 'd'")
     sums = replies.where("kind = 'n'").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens_in"), F.lit(0))).first()
     words, total = int(sums[0]), int(sums[1])
-    cells = _met(own.where("tune"), replies.where("tune and kind <> 'n'")).mapInArrow(_histogram(total), "cell long, weight long")
+    cells = _met(packed.where("tune"), replies.where("tune and kind <> 'n'")).mapInArrow(_histogram(total), "cell long, weight long")
     found = {r["cell"]: r["weight"] for r in cells.groupBy("cell").agg(F.sum("weight").alias("weight")).collect()}  # at most BUCKETS * CELLS ** 2
-    free(spark)
-    return _met(own, replies.where("kind <> 'n'")).mapInArrow(_scores(em(found, words), total, words), SCHEMA)
+    return _met(packed, replies.where("kind <> 'n'")).mapInArrow(_scores(em(found, words), total, words), SCHEMA)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, broadcast_if_small, packed, stored, table
 
 WINDOW = 10
 GRAM = 5
@@ -142,8 +142,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, small
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, bound: int = SMALL) -> DataFrame:
     """docs, with all their columns, without those in which any window of the benchmark occurs."""
     bad = stored(contamination(docs, bench, window).where("n_hit > 0").select(F.col("doc_id").alias("_did"), F.col("text_hash").alias("_th")).distinct(), "bad")
-    side = F.broadcast(bad) if bad.count() <= bound else bad
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_did")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_th")), "left_anti")
+    rows = packed(docs, F.sha2(F.coalesce("text", F.lit("")), 256))
+    return rows.join(broadcast_if_small(bad, bad.count(), bound), F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_key") == F.col("_th")), "left_anti").select("_row.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ The filter is dense, 2 to 4 bytes a row at most, and broadcast up to FILTER_BLOC
 
 Defined results: a null text counts as empty; all empty texts are equal to each other. Of equal texts the row with the most
 code points in the original text stays, then the smallest doc_id (a null doc_id comes last); of rows equal in
-these too exactly one stays. An empty table gives an empty result. Other columns are neither read nor changed.
+these too exactly one stays, and which is not defined. An empty table gives an empty result. Other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, table
+from .common import broadcast_if_small, packed, stored, table
 
 SPACE = r"[\x20\x09-\x0D]"
 SLOTS_PER_ROW = 16
@@ -46,13 +46,13 @@ def repeat_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
     return blocks.select("block", F.expr("transform(sequence(0, 63), i -> coalesce(try_element_at(held, i), 0L))").alias("words"))
 
 
-def maybe_repeated(rows: DataFrame, key: str, bits: int, found: DataFrame, blocks: int) -> DataFrame:
-    """Pass two: rows with a boolean column _maybe, false only for rows whose key no other row has."""
+def maybe_repeated(rows: DataFrame, key: str, bits: int, found: DataFrame, blocks: int, most: int) -> DataFrame:
+    """Pass two: rows with a boolean column _maybe, false only for rows whose key no other row has. A filter of up to `most` blocks is broadcast."""
     held, out = [], rows
     for i, slot in enumerate(_slots(key, bits)):
         side = found.select(F.col("block").alias(f"_b{i}"), F.col("words").alias(f"_w{i}"))
         out = out.withColumn(f"_s{i}", slot)
-        out = out.join(broadcast_if_small(side, blocks, FILTER_BLOCKS), F.shiftright(F.col(f"_s{i}"), 12) == F.col(f"_b{i}"), "left")
+        out = out.join(broadcast_if_small(side, blocks, most), F.shiftright(F.col(f"_s{i}"), 12) == F.col(f"_b{i}"), "left")
         held.append(F.coalesce(F.expr(f"(shiftright(element_at(_w{i}, cast(shiftright(_s{i}, 6) & 63 as int) + 1), cast(_s{i} & 63 as int)) & 1) = 1"), F.lit(False)))
     return out.withColumn("_maybe", held[0] & held[1]).drop(*[f"_{x}{i}" for i in (0, 1) for x in "wbs"])
 
@@ -61,12 +61,12 @@ def _order() -> Column:
     return F.struct((-F.col("n")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, most: int = FILTER_BLOCKS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = stored(docs.select("doc_id", digest(F.col("text")).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n")), "keys")
     bits = _bits(keys.count())
     found = stored(repeat_filter(keys, "text_sha256", bits), "filter")
-    flagged = maybe_repeated(keys, "text_sha256", bits, found, found.count())
+    flagged = maybe_repeated(keys, "text_sha256", bits, found, found.count(), most)
     alone = flagged.where(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     rows = flagged.where("_maybe").groupBy("text_sha256", "doc_id", "n").agg(F.count(F.lit(1)).alias("copies"))
     # A table of its own, one row a text: the join then has an exchange on both sides, so that a hot text's rows are split.
@@ -80,14 +80,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return alone.unionByName(grouped)
 
 
-def drop_exact(docs: DataFrame) -> DataFrame:
+def drop_exact(docs: DataFrame, most: int = FILTER_BLOCKS) -> DataFrame:
     """docs with all their columns, without the rows that exact_groups() would not keep."""
-    names, sha = docs.columns, digest(F.col("text"))
-    keys = docs.select(sha.alias("_sha"))
-    keys = stored(keys, "keys")
+    sha = digest(F.col("text"))
+    keys = stored(docs.select(sha.alias("_sha")), "keys")
     bits = _bits(keys.count())
     found = stored(repeat_filter(keys, "_sha", bits), "filter")
-    flagged = maybe_repeated(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), sha.alias("_sha")), "_sha", bits, found, found.count())
+    flagged = maybe_repeated(packed(docs, sha).select("_row", F.col("_key").alias("_sha")), "_sha", bits, found, found.count(), most)
     alone = flagged.where(~F.col("_maybe")).select("_row")
     n = F.length(F.coalesce("_row.text", F.lit("")))
     order = F.struct((-n).alias("a"), F.col("_row.doc_id").isNull().alias("b"), F.col("_row.doc_id").alias("c"))

@@ -5,8 +5,9 @@ shapes of the token and its neighbours; it is trained by gradient ascent on a sm
 a seed, and decoded by Viterbi in numpy over whole batches of texts. A secret is an access key, a password or a token: a run of labelled tokens is
 one span. Spans of the field that overlap a fixed one are dropped, the fixed ones always stay.
 
-Only tokens near a digit, "=" or "@" can get another label than other in any path: a token and both its neighbours without them
-have shape features whose weights are pinned to other, so that texts without such tokens are not decoded at all.
+Only a token with a digit, "=" or "@" may be a secret: in training and decoding every other token's label is fixed to other. A path
+through such a token falls into two parts that do not depend on each other, so that the stretches around live tokens are decoded by themselves with the
+result of whole texts, and texts without live tokens are not decoded at all.
 
 Defined results: null and empty texts have no spans; repeated rows each get a row; offsets are code points, ends exclusive. Texts are searched whole.
 """
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import by_bytes, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -39,6 +40,8 @@ EMAIL_HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LIVE = re.compile(r"[0-9=@]")
 LABELS = ("other", "secret")
+#: Bytes of text that are decoded together.
+BATCH_BYTES = 4 << 20
 
 
 def luhn(digits: str) -> bool:
@@ -128,6 +131,11 @@ def labelled(n: int = 200, seed: int = 7) -> list[tuple[list[str], list[int]]]:
     return out
 
 
+def pins(tokens: list[str]) -> np.ndarray:
+    """What is added to the emissions so that a token that is not live is other."""
+    return np.array([[0.0, 0.0 if LIVE.search(t) else -1e6] for t in tokens]).reshape(-1, len(LABELS))
+
+
 class Field:
     """Weights of the chain: for each feature at each place (before, here, after) and label; start and transitions."""
 
@@ -144,8 +152,9 @@ class Field:
         sw, st = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
         for _ in range(steps):
             gw[:], gt[:] = -decay * self.w, -decay * self.t
-            for (_, ys), fs in zip(rows, feats):
-                e = np.array([self.w[f].sum(0) for f in fs])
+            for (tokens, ys), fs in zip(rows, feats):
+                fixed = pins(tokens)
+                e = np.array([self.w[f].sum(0) for f in fs]) + fixed
                 a, b = [e[0]], [np.zeros(n)]
                 for x in e[1:]:
                     a.append(x + np.logaddexp.reduce(a[-1][:, None] + self.t, 0))
@@ -164,7 +173,7 @@ class Field:
             st += gt**2
             self.w += rate * gw / np.sqrt(sw)
             self.t += rate * gt / np.sqrt(st)
-        # Unknown shapes weigh for other, and a token that is plain between plain ones is pinned to it.
+        # Unknown shapes weigh for other.
         self.unknown = np.array([0.5, -0.5])
 
     def features(self, tokens: list[str], learn: bool = False) -> list[list[int]]:
@@ -179,7 +188,7 @@ class Field:
         return out
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
-        return np.array([self.w[f].sum(0) if f else self.unknown for f in self.features(tokens)])
+        return np.array([self.w[f].sum(0) if f else self.unknown for f in self.features(tokens)]) + pins(tokens)
 
     def decode(self, batch: list[list[str]]) -> list[np.ndarray]:
         """Viterbi over a batch of token rows at once, the longest first."""
@@ -214,7 +223,7 @@ def field() -> Field:
 
 
 def stretches(text: str) -> list[tuple[int, list[re.Match]]]:
-    """Runs of tokens around those with a digit, = or @, with two plain ones on each side; the tokens between are other in the best path."""
+    """Runs of tokens around those with a digit, = or @, with two plain ones on each side; the tokens between are not live and so other."""
     if not LIVE.search(text):
         return []
     out: list[list[re.Match]] = []
@@ -300,7 +309,7 @@ def find(docs: DataFrame) -> DataFrame:
     crf = field()  # trained on the driver, a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1, BATCH_BYTES)):
             found = spans([t.as_py() or "" for t in batch.column(1)], crf)
             counts = [[sum(x[1] == kind for x in base) for base, _ in found] for kind in KINDS]
             digests = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]

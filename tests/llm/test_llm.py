@@ -56,7 +56,7 @@ def test_the_repeat_filter_is_broadcast_for_millions_of_rows(spark):
     found = exact_dedup.repeat_filter(keys.unionByName(keys), "k", 26).cache()  # some 450,000 words
     n = found.count()
     rows = keys.unionByName(spark.range(300_000, 310_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k")))
-    out = exact_dedup.maybe_repeated(rows, "k", 26, found, n)
+    out = exact_dedup.maybe_repeated(rows, "k", 26, found, n, exact_dedup.FILTER_BLOCKS)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert n <= 1 << 14 and "SortMergeJoin" not in plan and "Exchange hashpartitioning(shiftright" not in plan
     assert 300_000 <= out.where("_maybe").count() <= 300_100

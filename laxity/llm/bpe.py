@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import by_bytes, table
+from .common import by_bytes, in_batches, table
 
 #: Bytes, roughly, that each of two generations of remembered words takes; the older one goes when the younger is full.
 CACHE_BYTES = 48 << 20
@@ -243,7 +243,7 @@ def mapped(docs: DataFrame, path: str, schema: str, fn) -> DataFrame:
                 cols = zip(*(fn(enc, t.as_py() or "") for t in batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, arrow[k]) for c, k in zip(cols, kinds[1:])]], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _digest(enc: Encoder, text: str) -> tuple[int, str, str]:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import in_batches, partitions, table
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role|>", "<|turn|>")
 ESCAPE = "\\"
@@ -475,7 +475,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, chu
         if held:
             yield pa.RecordBatch.from_pylist([*rows, row(*held, False)], schema=PIECE)
 
-    return _sorted(conversations, spread).mapInArrow(run, PIECES)
+    return _sorted(in_batches(conversations), spread).mapInArrow(run, PIECES)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

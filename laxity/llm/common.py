@@ -12,10 +12,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to Python, if the session does not say otherwise; Spark's own 64 MB are held several times over in each task.
+BATCH_BYTES = 4 << 20
 #: Rows that a table may have and still be broadcast; rows are narrow (a few longs or a digest).
 BROADCAST_ROWS = 300_000
 
 
+def in_batches(docs: DataFrame) -> DataFrame:
+    """docs, in a session whose batches to Python are of BATCH_BYTES, unless it has been given a size of its own."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).rstrip("b") == str(64 << 20):
+        conf.set(key, f"{BATCH_BYTES}b")
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

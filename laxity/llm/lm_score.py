@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table
+from .common import in_batches, partitions, stored, table
 from .ngram_join import MUL, mix
 
 BLOCK = 700_000
@@ -294,7 +294,7 @@ def _scores(weights: np.ndarray, total: int, words: int):
 
 def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    n = docs.select("doc_id").count()
+    n = in_batches(docs).select("doc_id").count()
     ranges = 1 << min(16, max(6, (n // RANGE_DOCS).bit_length()))
     packed = stored(docs.select("doc_id", "text").mapInArrow(_packed, PACKED), "packed")
     asked = packed.mapInArrow(_asked(ranges), ASKED).repartition(partitions(spark), "kind", "part").sortWithinPartitions("kind", "part")

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_stored, packed, partitions, stored, table
+from .common import broadcast_if_small, drop_stored, in_batches, packed, partitions, stored, table
 from .components import components
 
 WORDS = 5
@@ -406,7 +406,7 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     """One row per document: did (doc_id), th (key of the text), n (size of the set), component_id, first (stands for its group)."""
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    frame = docs.select("doc_id", "text")
+    frame = in_batches(docs).select("doc_id", "text")
     profile = stored(frame.mapInArrow(_profile, "did long, cls binary, n long, th binary, counts binary, part int, sums binary"), "profile")
     rows = profile.where("part is null").select("did", "cls", "n", "th", "counts")
     parts = profile.where("part is not null").select("part", "sums").repartition(min(PARTS, n_parts), "part").mapInArrow(_summed, "part int, level binary, squares double, total double").collect()

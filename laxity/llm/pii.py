@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_bytes, table
+from .common import by_bytes, in_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -316,7 +316,7 @@ def find(docs: DataFrame) -> DataFrame:
             cols = [*[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array([_joined(s) for _, s in found], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

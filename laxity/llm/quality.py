@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, table
+from .common import drop_stored, in_batches, stored, table
 
 SAMPLE = 1500
 DICT_BYTES = 128 * 1024
@@ -154,6 +154,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the bounded sample. The driver holds slices of twice the dictionaries' size, and a number for each sampled text."""
+    in_batches(docs)
     own = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_label"), F.max("quality").alias("_other"))
     own = own.where("_label = _other").select("_id", "_label")
     n = {r["_label"]: r["count"] for r in own.groupBy("_label").count().collect()}  # two rows
@@ -199,7 +200,7 @@ def score(text: Column, model: Model) -> Column:
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a column of the given name, from whole texts."""
-    return docs.withColumn(name, score(F.col("text"), model))
+    return in_batches(docs).withColumn(name, score(F.col("text"), model))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

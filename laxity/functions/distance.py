@@ -26,19 +26,34 @@ def bounded_edit_distance(a: Column, b: Column, most: int) -> Column:
     return F.when(found < 0, F.lit(most + 1)).otherwise(found)
 
 
-def edit_policy(a: Column, b: Column, policy: str = "absolute") -> Column:
-    """absolute: edits; normalised: edits by the longer length; hybrid: their mean; token: tokens that only one side has."""
-    edits, longest = F.levenshtein(a, b).cast("double"), F.greatest(F.length(a), F.length(b), F.lit(1)).cast("double")
+POLICIES = ("absolute", "normalised", "hybrid", "token")
+
+
+def edits_allowed(a: Column, b: Column, policy: str, limit: float) -> Column:
+    """Edits by which two strings may differ. absolute: `limit`; normalised: the share 1 - `limit` of the longer length, rounded down;
+    hybrid: the same, but one at least."""
     if policy == "absolute":
-        return edits
-    if policy == "normalised":
-        return edits / longest
-    if policy == "hybrid":
-        return (edits + edits / longest) / 2
+        return F.lit(int(limit))
+    if policy not in ("normalised", "hybrid"):
+        raise ValueError(policy)
+    share = F.floor(F.round(F.greatest(F.length(a), F.length(b)) * (1 - limit), 9)).cast("int")
+    return share if policy == "normalised" else F.greatest(share, F.lit(1))
+
+
+def _tokens(c: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(c, r"\s+"), ""))
+
+
+def tokens_needed(a: Column, b: Column, limit: float) -> Column:
+    """Common tokens that two strings need for a similarity of `limit`: limit / (1 + limit) of the tokens of both, rounded up."""
+    return F.ceil(F.round((F.size(_tokens(a)) + F.size(_tokens(b))) * (limit / (1 + limit)), 9)).cast("int")
+
+
+def similar(a: Column, b: Column, policy: str, limit: float) -> Column:
+    """Whether two strings are similar. limit: edits for absolute, a similarity from 0 to 1 for the others."""
     if policy == "token":
-        x, y = (F.array_remove(F.split(c, r"\s+"), "") for c in (a, b))
-        return (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))).cast("double")
-    raise ValueError(policy)
+        return F.size(F.array_intersect(_tokens(a), _tokens(b))) >= tokens_needed(a, b, limit)
+    return F.levenshtein(a, b) <= edits_allowed(a, b, policy, limit)
 
 
 def level_of(distance: Column, attribute: Attribute) -> Column:

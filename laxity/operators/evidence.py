@@ -141,10 +141,12 @@ def evidence_added(old: DataFrame, new: DataFrame, attributes: Sequence[Attribut
     attributes = usable(attributes)
     a = tuples(old, attributes)
     b = tuples(new, attributes)
-    blocks = F.sequence(F.lit(0), F.lit(7))
-    left = a.select(F.struct(*a.columns).alias("a"), F.pmod(F.xxhash64(*[x.name for x in attributes]), F.lit(8)).alias("_k"))
-    right = b.select(F.struct(*b.columns).alias("b"), F.explode(blocks).alias("_j"))
-    both = left.join(right, F.col("_k") == F.col("_j")).select(*[level(F.col(f"a.{x.name}"), F.col(f"b.{x.name}"), x).alias(f"lv_{x.name}") for x in attributes], (F.col("a.m") * F.col("b.m")).alias("cnt"))
+    a, b = materialised(a), materialised(b)
+    many, few = (max(1, -(-x.count() // block)) for x in (a, b))  # a task for each pair of blocks
+    own = lambda blocks: F.pmod(F.xxhash64(*[x.name for x in attributes]), F.lit(blocks))
+    left = a.select(F.struct(*a.columns).alias("a"), own(many).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("_j"))
+    right = b.select(F.struct(*b.columns).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("_k"), own(few).alias("_l"))
+    both = left.join(right, (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l"))).select(*[level(F.col(f"a.{x.name}"), F.col(f"b.{x.name}"), x).alias(f"lv_{x.name}") for x in attributes], (F.col("a.m") * F.col("b.m")).alias("cnt"))
     return merge(both.unionByName(evidence(new, attributes, block)), attributes)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..sources.tables import kind_of
 from ..spec import NUMBER, Attribute, thresholds_for
+from ..work import materialised
 
 
 def value_index(df: DataFrame, column: str) -> DataFrame:
@@ -30,8 +31,7 @@ def lookup(df: DataFrame, column: str, value) -> DataFrame:
 
 def codes(df: DataFrame, column: str) -> DataFrame:
     """value, code: dense codes from 0 in the order of values, numbered within ranges of values."""
-    values = df.select(F.col(column).alias("value")).distinct().repartitionByRange("value").withColumn("_p", F.spark_partition_id())
-    values = values.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else values.cache()
+    values = materialised(df.select(F.col(column).alias("value")).distinct().repartitionByRange("value").withColumn("_p", F.spark_partition_id()))
     sizes = values.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each partition
     rank = F.row_number().over(W.partitionBy("_p").orderBy(F.col("value").asc_nulls_first())) - 1

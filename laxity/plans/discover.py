@@ -4,15 +4,19 @@ A candidate is valid if its violations stay within the budget. Tighter left-hand
 violations; so a valid candidate is minimal exactly if none of its direct neighbours - one left-hand level looser, or the right-hand level one tighter - is
 valid. Dominated candidates are therefore found by an equal-key anti join, not by comparing all pairs.
 
-Three ways give the same rules: `grid` measures all candidates in one query; `lattice` goes up level by level and leaves out what a
-valid candidate dominates; `separate` works off each right-hand attribute in a task of its own, over a dense array.
+Four ways give the same rules: `grid` measures all candidates in one query; `lattice` goes up level by level and leaves out what a
+valid candidate dominates; `separate` works off each right-hand attribute in a task of its own, over a dense array; `pruned` does so
+by a search that goes on from a left-hand side only as long as its violations are over the budget at some right-hand level, and is for
+wide tables, whose grid cannot be laid out. discover() takes it by itself where the grid has more than GRID_CELLS candidates or the array more than DENSE_CELLS cells.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,10 @@ from .validate import budget
 
 #: Cells of the candidate grid up to which it is laid out as a whole.
 GRID_CELLS = 2_000_000
+#: Cells of the dense array of one right-hand attribute.
+DENSE_CELLS = 4_000_000
+#: Comparisons of left-hand sides with evidence that a task makes at once.
+STEP = 2_000_000
 
 
 def _x(attributes: Sequence[Attribute]) -> list[str]:
@@ -53,13 +61,17 @@ def all_candidates(evidence: DataFrame, attributes: Sequence[Attribute], rhs: At
     return out.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rhs.levels)))).repartition("rhs", *_x(attributes))
 
 
+def grid_cells(attributes: Sequence[Attribute], rhs: str | None = None) -> int:
+    """Candidates of the whole grid."""
+    return sum(a.levels * math.prod(b.levels + 1 for b in attributes if b.name != a.name) for a in attributes if rhs in (None, a.name))
+
+
 def valid(evidence: DataFrame, attributes: Sequence[Attribute], error: float, rhs: str | None = None) -> DataFrame:
     """Every valid candidate of the grid, measured."""
     attributes = usable(attributes)
     chosen = [a for a in attributes if rhs in (None, a.name)]
-    cells = sum(a.levels * reduce(lambda n, b: n * (b.levels + 1), [b for b in attributes if b.name != a.name], 1) for a in chosen)
-    if cells > GRID_CELLS:
-        raise ValueError(f"the grid has {cells} candidates; use the lattice")
+    if (cells := grid_cells(attributes, rhs)) > GRID_CELLS:
+        raise ValueError(f"the grid has {cells} candidates; use lattice or pruned")
     parts = [all_candidates(evidence, attributes, a) for a in chosen]
     found = measured(reduce(DataFrame.unionByName, parts), evidence, attributes)
     return found.where(F.col("violations") <= budget(F.col("total"), error))
@@ -114,7 +126,6 @@ def lattice(evidence: DataFrame, attributes: Sequence[Attribute], error: float,
 
 def separate(evidence: DataFrame, attributes: Sequence[Attribute], error: float, rhs: str | None = None) -> DataFrame:
     """One task for each right-hand attribute: a dense array of counts, summed up from the tight end of each left-hand attribute."""
-    import numpy as np
     import pandas as pd
 
     attributes = usable(attributes)
@@ -154,10 +165,60 @@ def separate(evidence: DataFrame, attributes: Sequence[Attribute], error: float,
     return rows.groupBy("rhs").applyInPandas(search, schema(attributes))
 
 
-METHODS = {"grid": grid, "lattice": lattice, "separate": separate}
+def search(levels: np.ndarray, own: np.ndarray, cnt: np.ndarray, most: list[int], own_most: int, error: float) -> list[tuple]:
+    """Minimal (x, r, violations, support). levels: of each evidence on the left-hand attributes; own: on the right-hand one; most: the tightest levels.
+
+    A left-hand side's best right-hand level only rises as the side gets tighter, and ends at own_most; sides beyond that are not looked at."""
+    budget, out = int(np.floor(int(cnt.sum()) * float(error))), []
+    by_own = np.zeros((len(cnt), own_most + 1), np.int64)
+    by_own[np.arange(len(cnt)), own] = cnt
+    front, before = np.zeros((1, len(most)), np.int64), {}  # before: the best level of each side of the last round that is to go on
+    while len(front):
+        ahead, found = [], {}
+        for i in range(0, len(front), max(1, STEP // max(1, levels.size))):
+            some = front[i : i + max(1, STEP // max(1, levels.size))]
+            sums = (levels[None] >= some[:, None]).all(2).astype(np.int64) @ by_own
+            low = np.cumsum(sums, 1)  # low[r - 1]: violations at level r
+            best = (low[:, :-1] <= budget).sum(1)
+            for x, r, v, s in zip(some, best, low, sums.sum(1)):
+                looser = [before.get((*x[:c], x[c] - 1, *x[c + 1 :]), own_most) for c in np.flatnonzero(x)]
+                if own_most in looser:  # a looser side has the tightest level already
+                    continue
+                if r > max(looser, default=0):
+                    out.append((tuple(x.tolist()), int(r), int(v[r - 1]), int(s)))
+                if r < own_most:
+                    found[tuple(x.tolist())] = int(r)
+                    ahead += [x + step for step in np.eye(len(most), dtype=np.int64) if (x + step <= most).all()]
+        before, front = found, np.unique(np.array(ahead), axis=0) if ahead else np.zeros((0, len(most)), np.int64)
+    return out
+
+
+def pruned(evidence: DataFrame, attributes: Sequence[Attribute], error: float, rhs: str | None = None) -> DataFrame:
+    """One task for each right-hand attribute: search() over its evidence, whose vectors the task holds."""
+    import pandas as pd
+
+    attributes = usable(attributes)
+    cols, sizes = [a.name for a in attributes], [a.levels for a in attributes]
+    rows = evidence.withColumn("rhs", F.explode(F.array(*[F.lit(c) for c in cols if rhs in (None, c)])))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        at = cols.index(key[0])
+        found = part[[f"lv_{c}" for c in cols]].to_numpy().astype(np.int8)
+        total = int(part["cnt"].sum())
+        best = search(np.delete(found, at, 1), found[:, at], part["cnt"].to_numpy(), sizes[:at] + sizes[at + 1 :], sizes[at], error)
+        rules = [(key[0], *x[:at], 0, *x[at:], r, v, s, total) for x, r, v, s in best]
+        return pd.DataFrame(rules, columns=["rhs", *_x(attributes), "r", "violations", "support", "total"])
+
+    return rows.groupBy("rhs").applyInPandas(run, schema(attributes))
+
+
+METHODS = {"grid": grid, "lattice": lattice, "separate": separate, "pruned": pruned}
 
 
 def discover(evidence: DataFrame, attributes: Sequence[Attribute], error: float = 0.01, method: str = "grid", rhs: str | None = None) -> DataFrame:
     """Valid and minimal rules: rhs, x_<attribute>, r, violations, support, total, g1, utility columns come by plans.topk."""
+    some = usable(attributes)
+    if (method == "grid" and grid_cells(some, rhs) > GRID_CELLS) or (method == "separate" and math.prod(a.levels + 1 for a in some) > DENSE_CELLS):
+        method = "pruned"
     out = METHODS[method](evidence, attributes, error, rhs)
     return out.withColumn("g1", F.when(F.col("total") > 0, F.col("violations") / F.col("total")).otherwise(F.lit(0.0)))

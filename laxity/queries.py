@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.distance import edit_policy, level
+from .functions.distance import edits_allowed, similar, tokens_needed
 from .operators import evidence as ev
 from .operators import profile, simjoin
 from .plans import discover as dis
@@ -147,12 +147,9 @@ def auto_thresholds(spark, d):
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-@_query("levels_number", f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, CAST({_level(SUPPLIER[1])} AS INTEGER) AS level FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
+@_query("levels_number", f"WITH v AS (SELECT DISTINCT s_acctbal FROM supplier) SELECT a.s_acctbal AS a, b.s_acctbal AS b, round(b.s_acctbal - a.s_acctbal, 2) AS distance, CAST({_level(SUPPLIER[1])} AS INTEGER) AS level FROM v a JOIN v b ON a.s_acctbal < b.s_acctbal AND round(b.s_acctbal - a.s_acctbal, 2) <= 1000")
 def levels_number(spark, d):
-    s = _t(spark, d, "supplier")
-    a, b = (s.select(F.struct("s_suppkey", "s_acctbal").alias(x), F.lit(0).alias(f"k{x}")) for x in "ab")
-    both = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
-    return both.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), level(F.col("a.s_acctbal"), F.col("b.s_acctbal"), SUPPLIER[1]).cast("int").alias("level"))
+    return ev.value_pairs(_t(spark, d, "supplier"), SUPPLIER[1]).withColumn("level", F.col("level").cast("int"))
 
 
 @_query("value_pair_levels", f"WITH v AS (SELECT DISTINCT p_type FROM part) SELECT a.p_type AS a, b.p_type AS b, CAST(levenshtein(a.p_type, b.p_type) AS INTEGER) AS distance, CAST({_level(PART[1])} AS INTEGER) AS level FROM v a JOIN v b ON a.p_type < b.p_type AND levenshtein(a.p_type, b.p_type) <= 6")
@@ -160,12 +157,23 @@ def value_pair_levels(spark, d):
     return ev.value_pairs(_t(spark, d, "part"), PART[1]).withColumn("level", F.col("level").cast("int"))
 
 
-@_query("edit_policies", "WITH v AS (SELECT DISTINCT p_name FROM part WHERE p_size <= 3) SELECT a.p_name AS a, b.p_name AS b, CAST(levenshtein(a.p_name, b.p_name) AS DOUBLE) AS absolute, round(CAST(levenshtein(a.p_name, b.p_name) AS DOUBLE) / greatest(length(a.p_name), length(b.p_name), 1), 9) AS normalised, CAST(len(list_filter(list_distinct(string_split(a.p_name, ' ')), lambda x: NOT list_contains(string_split(b.p_name, ' '), x))) + len(list_filter(list_distinct(string_split(b.p_name, ' ')), lambda x: NOT list_contains(string_split(a.p_name, ' '), x))) AS DOUBLE) AS token FROM v a JOIN v b ON a.p_name < b.p_name")
+_TOKENS = "list_distinct(string_split({}.p_name, ' '))"
+_COMMON = f"len(list_intersect({_TOKENS.format('a')}, {_TOKENS.format('b')}))"
+_NEEDED = f"CAST(ceil(round((len({_TOKENS.format('a')}) + len({_TOKENS.format('b')})) * (0.5 / 1.5), 9)) AS INTEGER)"
+_SHARE = "CAST(floor(round(greatest(length(a.p_name), length(b.p_name)) * 0.25, 9)) AS INTEGER)"
+
+
+@_query(
+    "edit_policies",
+    f"WITH v AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance, {_SHARE} AS edits, {_NEEDED} AS tokens,"
+    f" levenshtein(a.p_name, b.p_name) <= 3 AS absolute, levenshtein(a.p_name, b.p_name) <= {_SHARE} AS normalised, levenshtein(a.p_name, b.p_name) <= greatest({_SHARE}, 1) AS hybrid, {_COMMON} >= {_NEEDED} AS token"
+    " FROM v a JOIN v b ON a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 8",
+)
 def edit_policies(spark, d):
-    v = _t(spark, d, "part").where("p_size <= 3").select("p_name").distinct()
-    a, b = v.select(F.col("p_name").alias("a"), F.lit(0).alias("ka")), v.select(F.col("p_name").alias("b"), F.lit(0).alias("kb"))
-    both = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
-    return both.select("a", "b", *[(F.round(edit_policy(F.col("a"), F.col("b"), p), 9)).alias(p) for p in ("absolute", "normalised", "token")])
+    a, b = F.col("a"), F.col("b")
+    limits = {"absolute": 3, "normalised": 0.75, "hybrid": 0.75, "token": 0.5}
+    found = simjoin.similar_pairs(_t(spark, d, "part"), "p_name", 8)
+    return found.select("a", "b", "distance", edits_allowed(a, b, "normalised", 0.75).alias("edits"), tokens_needed(a, b, 0.5).alias("tokens"), *[similar(a, b, p, t).alias(p) for p, t in limits.items()])
 
 
 @_query("band_pairs", "WITH v AS (SELECT DISTINCT s_acctbal AS v FROM supplier) SELECT a.v AS a, b.v AS b, round(b.v - a.v, 2) AS distance FROM v a JOIN v b ON a.v < b.v AND round(b.v - a.v, 2) <= 100")
@@ -260,6 +268,23 @@ _minimal("rules_part", "part", PART, 0.05, "separate")
 _minimal("rules_lineitem", "lineitem", LINEITEM, 0.2, "grid")
 
 
+#: Twelve attributes: those of supplier and remainders of its key.
+WIDE = [Attribute("s_nationkey", NUMBER, (2,)), Attribute("s_acctbal", NUMBER, (1000,), 2), Attribute("s_name", STRING, (1,)), *[Attribute(f"m{k}", NUMBER, (0,)) for k in range(2, 11)]]
+_WIDE = f"w AS (SELECT s_nationkey, s_acctbal, s_name, {', '.join(f's_suppkey % {k} AS m{k}' for k in range(2, 11))} FROM supplier), {_evidence('w', WIDE)}, {_rules(WIDE, 0.2, [a.name for a in WIDE])}"
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "supplier").select("s_nationkey", "s_acctbal", "s_name", *[(F.col("s_suppkey") % k).alias(f"m{k}") for k in range(2, 11)])
+
+
+@_query("rules_wide", f"WITH {_WIDE} SELECT * FROM best")
+def rules_wide(spark, d):
+    return dis.discover(materialised(ev.evidence(_wide(spark, d), WIDE)), WIDE, 0.2, "pruned").drop("g1")
+
+
+_minimal("rules_supplier_exact", "supplier", [Attribute("s_suppkey", NUMBER, (0,)), Attribute("s_name", STRING, (0,)), Attribute("s_nationkey", NUMBER, (0, 2))], 0.0, "separate")
+
+
 def _mode(mode: int, **more):
     def run(spark, d):
         return rules(_t(spark, d, "supplier"), SUPPLIER, mode, ERROR, key="s_suppkey", shard=40, **more).drop("g1")

@@ -17,7 +17,8 @@ NUMERIC = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 def read_csv(spark: SparkSession, path: str, rows: int | None = None, key: str | None = None) -> DataFrame:
     """A table whose header may say Integer, Double or String; other columns are numbers if every value is one.
 
-    rows limits the table to its first rows by `key`, which has to be given with it. Broken files fail.
+    rows limits the table to its first rows by `key`, which has to be given with it. Broken files fail, and so do values that
+    are not of the type that their column's header says; empty values are null.
     """
     raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     kinds = {c: next((k for k in ("Integer", "Double", "String") if k in c), None) for c in raw.columns}
@@ -27,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, rows: int | None = None, key: str |
         for i, c in enumerate(open_columns):
             kinds[c] = "String" if checks[f"n{i}"] == 0 else "Double" if checks[f"d{i}"] else "Integer"
     to = {"Integer": "bigint", "Double": "double", "String": "string"}
-    cols = [F.col(f"`{c}`").try_cast(to[k]).alias(m[1].strip() if (m := TYPED.match(c)) else c) for c, k in kinds.items()]
+    cols = [(F.when(F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`") != ""), F.coalesce(F.col(f"`{c}`").try_cast(to[k]), F.raise_error(F.concat(F.lit(f"{c}: not {k}: "), F.col(f"`{c}`"))).cast(to[k]))) if k != "String" else F.col(f"`{c}`")).alias(m[1].strip() if (m := TYPED.match(c)) else c) for c, k in kinds.items()]
     out = raw.select(*cols)
     if rows is not None and rows > 0:
         if key is None:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.distance import edits_allowed, similar, tokens_needed
+from .functions.distance import clean, edits_allowed, similar, tokens_needed
 from .operators import evidence as ev
 from .operators import profile, simjoin
 from .plans import discover as dis
 from .plans import topk, validate
 from .plans.modes import rules
-from .spec import NUMBER, STRING, Attribute, number_grid, string_grid
-from .work import materialised
+from .sources.evidence_files import load, readable, save
+from .sources.tables import read_csv, read_thresholds
+from .spec import NUMBER, STRING, Attribute, number_grid, string_grid, usable
+from .work import materialised, shared_folder
 
 CUSTOMER = [Attribute("c_nationkey", NUMBER, (0, 1, 2)), Attribute("c_acctbal", NUMBER, (1, 100, 1000), 2), Attribute("c_mktsegment", STRING, (0, 4, 6))]
 LINEITEM = [Attribute("l_discount", NUMBER, (0, 0.01, 0.03), 2), Attribute("l_tax", NUMBER, (0, 0.02), 2), Attribute("l_returnflag", STRING, (0,)), Attribute("l_linestatus", STRING, (0,))]
@@ -197,6 +200,31 @@ def similar_exists(spark, d):
     return simjoin.similar_exists(p, "p_brand", p.where("p_size = 1"), "p_brand", 1)
 
 
+def _written(spark: SparkSession, df: DataFrame, form: str, **options) -> str:
+    path = f"{shared_folder(spark)}/laxity-file-{uuid.uuid4().hex}"
+    df.write.options(**options).format(form).save(path)
+    return path
+
+
+@_query("csv_table", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_acctbal END AS s_acctbal, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_nationkey END AS DOUBLE) AS s_nationkey FROM supplier ORDER BY s_suppkey LIMIT 60")
+def csv_table(spark, d):
+    """Typed and open headers, empty values, and the first rows by a key, from a file written here. Empty values count as 0 or the empty string."""
+    key, gap = F.col("s_suppkey"), lambda k, c: F.when(F.col("s_suppkey") % k != 0, F.col(c))
+    rows = _t(spark, d, "supplier").select(key.alias("s_suppkey(Integer)"), gap(3, "s_name").alias("s_name(String)"), gap(5, "s_acctbal").alias("s_acctbal(Double)"), gap(7, "s_nationkey").alias("s_nationkey"))
+    found = read_csv(spark, _written(spark, rows, "csv", header=True), 60, "s_suppkey")
+    kinds = {"s_name": STRING, "s_acctbal": NUMBER, "s_nationkey": NUMBER}
+    return found.select("s_suppkey", *[clean(F.col(c), Attribute(c, k, (0,))).alias(c) for c, k in kinds.items()])
+
+
+@_query("threshold_file", "SELECT attribute, level, CAST(threshold AS DOUBLE) AS threshold, levels FROM (VALUES ('s_suppkey', 1, 5.0, 3), ('s_suppkey', 2, 1.0, 3), ('s_suppkey', 3, 0.0, 3), ('s_acctbal', 1, 1000.0, 2), ('s_acctbal', 2, 0.5, 2)) t(attribute, level, threshold, levels)")
+def threshold_file(spark, d):
+    """Attributes from a threshold file of one line for each column; empty lines leave columns out, thresholds are sorted and distinct."""
+    lines = spark.range(1).select(F.lit("5,0,1,1\n\n\n1000, 0.5\n").alias("value"))
+    found = usable(read_thresholds(spark, _written(spark, lines, "text"), _t(spark, d, "supplier"), {"s_acctbal": 2}))
+    rows = [F.struct(F.lit(a.name).alias("attribute"), F.lit(lv).alias("level"), F.lit(float(a.threshold(lv))).alias("threshold"), F.lit(a.levels).alias("levels")) for a in found for lv in range(1, a.levels + 1)]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+
+
 def _as_ints(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("int").alias(c) if c.startswith("lv_") else F.col(c) for c in df.columns])
 
@@ -234,6 +262,24 @@ def cover_targets(spark, d):
 _MEASURE = "SELECT CAST(coalesce(sum(cnt) FILTER (lv_{0} >= {1}), 0) AS BIGINT) AS support, CAST(coalesce(sum(cnt) FILTER (lv_{0} >= {1} AND lv_{2} < {3}), 0) AS BIGINT) AS violations, CAST(sum(cnt) AS BIGINT) AS total, round(CAST(coalesce(sum(cnt) FILTER (lv_{0} >= {1} AND lv_{2} < {3}), 0) AS DOUBLE) / sum(cnt), 9) AS g1 FROM ev"
 
 
+@_query("evidence_saved", f"WITH {_evidence('supplier', SUPPLIER)} SELECT {', '.join(f'CAST(lv_{a.name} AS INTEGER) AS lv_{a.name}' for a in SUPPLIER)}, cnt FROM ev")
+def evidence_saved(spark, d):
+    """An evidence set written as lines of levels and a count, and read again."""
+    path = f"{shared_folder(spark)}/laxity-file-{uuid.uuid4().hex}"
+    save(ev.evidence(_t(spark, d, "supplier"), SUPPLIER), path)
+    return _as_ints(load(spark, path, SUPPLIER))
+
+
+def _band(a: Attribute) -> str:
+    cases = [f"WHEN lv_{a.name} = {lv} THEN '{a.name} " + (f"({a.threshold(lv + 1):g}," if lv < a.levels else "[0,") + (f"{a.threshold(lv):g}]" if lv else "inf)") + "'" for lv in range(a.levels + 1)]
+    return f"CASE {' '.join(cases)} END"
+
+
+@_query("evidence_readable", f"WITH {_evidence('supplier', SUPPLIER)} SELECT {" || ' ' || ".join(map(_band, SUPPLIER))} AS evidence, cnt FROM ev")
+def evidence_readable(spark, d):
+    return readable(ev.evidence(_t(spark, d, "supplier"), SUPPLIER), SUPPLIER)
+
+
 @_query("measure_candidate", f"{_CUSTOMER} {_MEASURE.format('c_nationkey', 2, 'c_mktsegment', 3)}")
 def measure_candidate(spark, d):
     return validate.measure(_customer(spark, d), {"c_nationkey": 2}, "c_mktsegment", 3).withColumn("g1", F.round("g1", 9))

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from laxity.functions.distance import edits_allowed, similar, tokens_needed
 from laxity.operators import evidence as ev
 from laxity.operators import profile
 from laxity.operators.simjoin import similar_exists, similar_pairs
@@ -200,3 +201,48 @@ def test_stream_adds_up(spark, tmp_path):
     query = kept.start(stream, str(tmp_path / "cp"))
     query.awaitTermination()
     assert as_dict(kept.current(spark)) == plain_evidence(rows, ATTRIBUTES)
+
+
+def test_edit_policies(spark):
+    pairs = [("abcdefghij", "abcdefghxx"), ("abc", "abd"), ("a b c", "a b d"), ("", ""), ("abcdefghij", "abcdefgxyz")]
+    a, b = F.col("a"), F.col("b")
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    row = frame.select("i", edits_allowed(a, b, "absolute", 3), edits_allowed(a, b, "normalised", 0.8), edits_allowed(a, b, "hybrid", 0.8), tokens_needed(a, b, 0.8), *[similar(a, b, p, t) for p, t in (("absolute", 1), ("normalised", 0.8), ("hybrid", 0.8), ("token", 0.5), ("token", 0.8))]).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in row] == [
+        (3, 2, 2, 1, False, True, True, False, False),
+        (3, 0, 1, 1, True, False, True, False, False),
+        (3, 1, 1, 3, True, True, True, True, False),
+        (3, 0, 1, 0, True, True, True, True, True),
+        (3, 2, 2, 1, False, False, False, False, False),
+    ]
+    with pytest.raises(ValueError):
+        edits_allowed(a, b, "other", 1)
+
+
+def test_wide_tables_are_searched_with_pruning(spark, monkeypatch):
+    rnd = random.Random(11)
+    attributes = [Attribute(f"c{i}", "number", (0, 2, 5)) for i in range(4)]
+    rows = [tuple(float(rnd.randint(0, 9)) for _ in attributes) for _ in range(30)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{x.name} double" for x in attributes))
+    want = sorted(map(tuple, rules(frame, attributes, 6, 0.2, k=3).select("rhs", *[f"x_{x.name}" for x in attributes], "r").collect()))
+    monkeypatch.setattr(dis, "GRID_CELLS", 10)
+    monkeypatch.setattr(dis, "DENSE_CELLS", 10)
+    monkeypatch.setattr(dis, "STEP", 50)
+    assert sorted(map(tuple, rules(frame, attributes, 6, 0.2, k=3).select("rhs", *[f"x_{x.name}" for x in attributes], "r").collect())) == want
+    found = {m: sorted(map(tuple, dis.discover(ev.evidence(frame, attributes), attributes, 0.2, m).drop("g1").collect())) for m in ("separate", "lattice")}
+    assert found["separate"] == found["lattice"] and len(found["separate"]) > 4
+
+
+def test_a_value_of_another_type_fails(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a(Integer),b\n1,x\n,y\nz,w\n")
+    with pytest.raises(Exception, match="not Integer"):
+        tables.read_csv(spark, str(tmp_path / "t.csv")).collect()
+
+
+def test_added_evidence_in_blocks(spark):
+    rnd = random.Random(12)
+    attributes = [Attribute("a", "number", (0, 3)), Attribute("b", "string", (0, 1))]
+    rows = [(float(rnd.randint(0, 20)), rnd.choice(["ab", "b", "abc"])) for _ in range(40)]
+    old, new = (spark.createDataFrame(r, "a double, b string") for r in (rows[:25], rows[25:]))
+    both = ev.merge(ev.evidence(old, attributes).unionByName(ev.evidence_added(old, new, attributes, block=4)), attributes)
+    assert {tuple(r)[:-1]: r["cnt"] for r in both.collect()} == plain_evidence(rows, attributes)

@@ -511,3 +511,15 @@ def drop_near(docs: DataFrame, bound: int = MEMBERS) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 4), ' ') AS k FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+c AS (SELECT rid, rid AS other FROM d UNION SELECT c.rid, l.y FROM c JOIN l ON l.x = c.other),
+m AS (SELECT c.rid, min(d.doc_id) AS component_id FROM c JOIN d ON d.rid = c.other GROUP BY c.rid)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -142,7 +142,7 @@ def fitted(model: Model, rows: list[tuple[int, int, int]], prior: float | None)
     more, size, y = np.array(rows, float).reshape(-1, 3).T
     share = float(np.mean(y)) if rows else 0.5
     prior = min(max(share if prior is None else prior, 1e-6), 1 - 1e-6)
-    if not 0 < share < 1:
+    if not rows or not 0 < share < 1:
         return Model(b"", b"", float(np.log(prior / (1 - prior))))
     average = sum(p * float(more[y == k].sum() / max(1, size[y == k].sum())) for k, p in ((1, prior), (0, 1 - prior)))
     return Model(model.good, model.bad, *calibrated(normalised(more, size, average), y, prior), average)

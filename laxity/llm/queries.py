@@ -16,4 +16,4 @@ QUERIES = {
     "op9_lm_score": lm_score.op9_lm_score,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-SQL = {"op1_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_ngram_join": ngram_join.SQL}

@@ -302,7 +302,7 @@ def _joined(found: list) -> str:
     return ",".join(f"{kind}:{a}:{b}" for _, kind, a, b in found)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def find(docs: DataFrame) -> DataFrame:
             found = spans([t.as_py() or "" for t in batch.column(1)], crf)
             counts = [[sum(x[1] == kind for x in base) for base, _ in found] for kind in KINDS]
             digests = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
-            cols = [*[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array([_joined(s) for _, s in found], pa.string())]
+            cols = [*[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array([_joined(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return in_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

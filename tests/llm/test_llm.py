@@ -279,6 +279,8 @@ def test_pii(spark, odd):
     clean = "The river was cold, and by the morning 12 of them walked on. Version 2.0 of it = fine."
     assert pii.spans([clean, "", "no digits"]) == [([], [])] * 3
     assert pii.find(odd).count() == odd.count() and pii.find(odd.limit(0)).count() == 0
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_spans"] == 6 == len(row["spans"].split(","))
 
 
 def test_viterbi_finds_the_best_path_and_stretches_equal_whole_texts():

@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps; each step is written to the shared folder."""
+"""Connected components by alternating large-star and small-star steps; each round of both is written to the shared folder once."""
 
 from __future__ import annotations
 
@@ -23,21 +23,18 @@ def _least(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """edges (a, b), any order -> node, root: the smallest node of its component. Nodes without edges do not occur."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    sign = None
+    measure = F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")
+    sign = tuple(now.agg(*measure).first())
     while True:
-        count = now.count()
+        small = 2 * sign[0] <= bound  # both ways; neither step makes more edges than that
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, 2 * count <= bound).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        step = stored(large, "large")
-        count = step.count()
-        found = _least(step, count <= bound)
-        small = found.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(found.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(small, "small")
-        drop_stored(step)
-        seen = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        large = _least(both, small).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        found = _least(large, small)
+        after = stored(found.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), "small")
+        seen = tuple(after.agg(*measure).first())
         drop_stored(now)
         now = after
-        if tuple(seen) == sign:
+        if seen == sign:
             break
-        sign = tuple(seen)
+        sign = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -453,7 +453,7 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     listed = listed.repartition(n_parts, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
     ties = stored(listed.mapInArrow(_tied, "a binary, b binary, far double"), "ties")
     drop_stored(lists)
-    clusters = stored(components(ties.select("a", "b")), "clusters")
+    clusters = components(ties.select("a", "b"))
 
     # Each set and the nearest that it is tied to; of two that are each other's nearest, one is the hub.
     both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
@@ -468,7 +468,7 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     members = stored(home.join(to, F.col("cls") == F.col("_cls")).select("cls", "_did", "to"), "members")
     met = _sent(docs, members, "struct<hub: binary, salt: int, kind: int>", most)
     met = met.repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-    verified = stored(components(met.mapInArrow(_verified, "a binary, b binary")), "verified")
+    verified = components(met.mapInArrow(_verified, "a binary, b binary"))
 
     # The parts of each cluster; where there are several, the largest and the others.
     at = home.join(clusters.select("node", F.col("root").alias("cluster")), F.col("cls") == F.col("node")).select("cls", "n", "_did", "cluster")
@@ -483,11 +483,11 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     left = stored(left.select("cls", "_did", F.expr("transform(others, o -> named_struct('cluster', cluster, 'lo', least(own, o), 'hi', greatest(own, o), 'own', own, 'part', own_part))").alias("to")), "left")
     met = _sent(docs, left, "struct<cluster: binary, lo: int, hi: int, own: int, part: binary>", most)
     met = met.repartition(n_parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    more = stored(met.mapInArrow(_joined, "a binary, b binary"), "more")
+    more = met.mapInArrow(_joined, "a binary, b binary")
     part_of = at.select(F.col("cls").alias("_c"), F.col("own_part").alias("_p"))
     for c in ("a", "b"):
         more = more.join(part_of, F.col(c) == F.col("_c")).select(*[F.col("_p").alias(x) if x == c else x for x in ("a", "b")])
-    joined = stored(components(more), "joined")
+    joined = components(more)
     roots = at.join(joined, F.col("own_part") == F.col("node"), "left").select(F.col("cls").alias("node"), F.coalesce("root", "own_part").alias("root"))
 
     at = classes.select("cls", "first").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")

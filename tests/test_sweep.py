@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import threading
 
@@ -9,7 +11,7 @@ from laxity.operators import evidence as ev
 from laxity.operators import sweep
 from laxity.spec import Attribute
 
-from .test_rules import ATTRIBUTES, as_dict, edits, frame, plain_evidence, sample
+from .test_rules import ATTRIBUTES, as_dict, edits, frame, plain_evidence, plain_rules, sample
 
 #: Customers whose pairs, 5 * 10 ** 9, no run gets through within LIMIT seconds.
 MANY, LIMIT = 100_000, 100
@@ -62,6 +64,67 @@ def test_blocked_evidence_of_many_rows(spark, many):
     assert {tuple(r)[:2]: r["cnt"] for r in in_time(spark, "evidence_blocked", folder)} == want
 
 
+def levels_below(found):
+    """Pairs and vectors by level of the segment, the tightest level left out."""
+    want = {}
+    for (*_, level), c in found.items():
+        if level < 3:
+            pairs, vectors = want.get(level, (0, 0))
+            want[level] = pairs + c, vectors + 1
+    return sorted((level, *x) for level, x in want.items())
+
+
+def minimal_rules(found, error):
+    return sorted((rhs, *x, r, bad) for rhs, x, r, bad in plain_rules(found, queries.CUSTOMER, error))
+
+
+def valid_rules(found, error):
+    out, total = [], sum(found.values())
+    for b, rhs in enumerate(queries.CUSTOMER):
+        for x in itertools.product(*[range(1) if c == b else range(a.levels + 1) for c, a in enumerate(queries.CUSTOMER)]):
+            for r in range(1, rhs.levels + 1):
+                bad = sum(n for e, n in found.items() if all(e[c] >= x[c] for c in range(3) if c != b) and e[b] < r)
+                out += [(rhs.name, *x, r, bad)] if bad <= int(total * error) else []
+    return sorted(out)
+
+
+def best_rules(found, k, each, utility):
+    """The k best rules, of each right-hand attribute or of all, with their utility."""
+    total, names, scored = sum(found.values()), [a.name for a in queries.CUSTOMER], []
+    for rhs, x, r, _ in plain_rules(found, queries.CUSTOMER, queries.ERROR):
+        b = names.index(rhs)
+        support = sum(n for e, n in found.items() if all(e[c] >= x[c] for c in range(3) if c != b))
+        weight = sum(x[c] + 1 for c in range(3) if c != b)
+        scored.append((-round(utility(r, support, weight, queries.CUSTOMER[b].levels, total), 12), rhs, *x, r))
+    chosen = [row for rhs in names for row in sorted(s for s in scored if s[1] == rhs)[:k]] if each else sorted(scored)[:k]
+    return sorted((*row, round(-u, 6)) for u, *row in chosen)
+
+
+def rows_of(rows, *more):
+    return sorted((r["rhs"], *[r[f"x_{a.name}"] for a in queries.CUSTOMER], r["r"], *[round(r[c], 6) for c in more]) for r in rows)
+
+
+def with_violations(rows):
+    return rows_of(rows, "violations")
+
+
+def with_utility(rows):
+    return rows_of(rows, "utility")
+
+
+#: What each query that reads the evidence of all customers must give, and what of its rows is held against it.
+READERS = {
+    "evidence_by_rhs_level": (levels_below, lambda rows: sorted(map(tuple, rows))),
+}
+
+
+@pytest.mark.parametrize("query", READERS)
+def test_readers_of_the_evidence_of_many_tuples(spark, many, query):
+    folder, found = many
+    want, got = READERS[query]
+    assert got(in_time(spark, query, folder)) == want(found)
+
+
 @pytest.mark.parametrize("seed,at_once", [(1, 1), (2, 40), (3, 100_000)])
 def test_sweep_equals_all_pairs(spark, monkeypatch, seed, at_once):
     monkeypatch.setattr(ev, "SWEEP_TUPLES", 0)

@@ -115,6 +115,7 @@ def with_utility(rows):
 #: What each query that reads the evidence of all customers must give, and what of its rows is held against it.
 READERS = {
     "evidence_by_rhs_level": (levels_below, lambda rows: sorted(map(tuple, rows))),
+    "rules_customer_exact": (lambda found: minimal_rules(found, 0.0), with_violations),
 }
 
 

@@ -117,6 +117,7 @@ READERS = {
     "evidence_by_rhs_level": (levels_below, lambda rows: sorted(map(tuple, rows))),
     "rules_customer_exact": (lambda found: minimal_rules(found, 0.0), with_violations),
     "rules_customer_lattice": (lambda found: minimal_rules(found, queries.ERROR), with_violations),
+    "rules_customer_separate": (lambda found: minimal_rules(found, queries.ERROR), with_violations),
 }
 
 

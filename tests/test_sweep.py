@@ -118,6 +118,7 @@ READERS = {
     "rules_customer_exact": (lambda found: minimal_rules(found, 0.0), with_violations),
     "rules_customer_lattice": (lambda found: minimal_rules(found, queries.ERROR), with_violations),
     "rules_customer_separate": (lambda found: minimal_rules(found, queries.ERROR), with_violations),
+    "top_k_global": (lambda found: best_rules(found, 5, False, lambda r, s, w, n, total: r / (n + 2) * (s / total) / w), with_utility),
 }
 
 

@@ -121,6 +121,7 @@ READERS = {
     "top_k_global": (lambda found: best_rules(found, 5, False, lambda r, s, w, n, total: r / (n + 2) * (s / total) / w), with_utility),
     "top_k_per_rhs": (lambda found: best_rules(found, 3, True, lambda r, s, w, n, total: r * math.log(s) / w if s else 0.0), with_utility),
     "valid_candidates": (lambda found: valid_rules(found, queries.ERROR), with_violations),
+    "rules_customer_grid": (lambda found: minimal_rules(found, queries.ERROR), with_violations),
 }
 
 

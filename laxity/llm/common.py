@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch that goes to Python, if the session does not say otherwise; Spark's own 64 MB are held several times over in each task.
 BATCH_BYTES = 4 << 20
+#: Rows for which compact() keeps a task and its file.
+FILE_ROWS = 20_000
 #: Rows that a table may have and still be broadcast; rows are narrow (a few longs or a digest).
 BROADCAST_ROWS = 300_000
 
@@ -52,6 +54,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has about so many narrow rows, in a task for each FILE_ROWS of them, and one for each core at least: each file that is written costs
+    an executor several processes on a local file system, and with many shuffle partitions small tables would be hundreds of files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table made by stored() when nothing will read it again."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, packed, stored, table
+from .common import ascii_lower, broadcast_if_small, compact, packed, stored, table
 
 WINDOW = 10
 GRAM = 5
@@ -74,7 +74,8 @@ def _key(start: Column, length: int, source: str = "words") -> Column:
 def windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """len, chosen, key, items: the distinct windows of the benchmark with the ids of the items that hold them."""
     items = stored(bench.select("item_id", words(F.col("text")).alias("words")), "items").where(F.size("words") > 0)
-    present = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()]  # at most `window` rows
+    kept, most = F.least(F.size("words"), F.lit(window)), F.greatest(F.lit(1), F.size("words") - (window - 1))
+    present = {r["n"]: r["m"] for r in items.groupBy(kept.alias("n")).agg(F.sum(most).alias("m")).collect()}  # at most `window` rows
     out = None
     for length in sorted({window, *present}):
         own = items.where(F.size("words") >= window if length == window else F.size("words") == length)
@@ -82,7 +83,7 @@ def windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
         own = chosen(own, length).select("item_id", "words", F.posexplode_outer("chosen").alias("start", "chosen")).where("start is not null")
         own = own.select("item_id", F.lit(length).alias("len"), "chosen", _key(F.col("start"), length).alias("key"))
         out = own if out is None else out.unionByName(own)
-    return out.groupBy("len", "chosen", "key").agg(F.collect_set("item_id").alias("items"))
+    return compact(out.groupBy("len", "chosen", "key").agg(F.collect_set("item_id").alias("items")), sum(present.values()))
 
 
 def _hits(docs: DataFrame, length: int, found: DataFrame, small: bool) -> DataFrame:
@@ -141,7 +142,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, small
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, bound: int = SMALL) -> DataFrame:
     """docs, with all their columns, without those in which any window of the benchmark occurs."""
-    bad = stored(contamination(docs, bench, window).where("n_hit > 0").select(F.col("doc_id").alias("_did"), F.col("text_hash").alias("_th")).distinct(), "bad")
+    bad = contamination(docs, bench, window).where("n_hit > 0").select(F.col("doc_id").alias("_did"), F.col("text_hash").alias("_th")).distinct()
+    bad = stored(compact(bad, docs.count()), "bad")
     rows = packed(docs, F.sha2(F.coalesce("text", F.lit("")), 256))
     return rows.join(broadcast_if_small(bad, bad.count(), bound), F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_key") == F.col("_th")), "left_anti").select("_row.*")
 

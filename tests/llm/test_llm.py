@@ -101,6 +101,21 @@ def plain_hits(text, items, window=10):
     return len(w), len(hit), found
 
 
+def test_a_small_benchmark_makes_few_files(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name, own=decontaminate.stored: files.setdefault(name, own(df, name)))
+    files, bench = {}, spark.createDataFrame([(i, " ".join(f"w{i * k}" for k in range(30))) for i in range(50)], "item_id long, text string")
+    for key, value in (held := {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}).items():
+        held[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
+    try:
+        assert decontaminate.drop_contaminated(bench.withColumnRenamed("item_id", "doc_id"), bench).count() == 0
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    assert files["windows"].count() == 1 + 49 * 21  # of item 0 all are one
+    assert max(len(files[x].inputFiles()) for x in ("windows", "bad")) <= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("small", [decontaminate.SMALL, 0])
 def test_decontaminate(spark, odd, small):
     rnd = random.Random(5)

@@ -8,8 +8,8 @@ The vocabulary file is that of a public tokenizer and its path a parameter; its
 pattern are applied here. Special tokens standing in a text are taken as such, as the library does.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty string; repeated rows are encoded alike.
-Texts are encoded whole, about BATCH_BYTES of them at a time. Words are remembered in caches of CACHE_BYTES; a word of any length is
-encoded in n log n steps.
+Texts are encoded whole, about BATCH_BYTES of them at a time. Stretches without white space and the words in them are remembered by their ids
+alone, in one cache of two generations of CACHE_BYTES; a word of any length is encoded in n log n steps.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from tokenizers import Tokenizer
 from .common import by_bytes, in_batches, table
 
 #: Bytes, roughly, that each of two generations of remembered words takes; the older one goes when the younger is full.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
+#: Words of a text whose ids are taken apart at a time.
+STRETCH = 50_000
 CACHE_CHARS = 64
 #: Bytes of text that are encoded before their results leave.
 BATCH_BYTES = 1 << 20
@@ -63,6 +65,29 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class Memo(dict):
+    """What make() gives for a text, remembered in two generations."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old, self.taken = make, {}, 0
+
+    def __missing__(self, text: str) -> str:
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= CACHE_CHARS:
+            self.keep(text, found)
+        return found
+
+    def keep(self, text: str, found: str) -> None:
+        if self.taken >= CACHE_BYTES:
+            self.old, self.taken = self.copy(), 0
+            self.clear()
+        self[text] = found
+        self.taken += 200 + len(text) + len(found)
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -83,10 +108,9 @@ class Encoder:
         self.bytes = byte_symbols()
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
-        self.taken = 0
-        self.pieces: dict[str, list[int]] = {}
+        self.memo = Memo(self.chunk)
+        self.texts = [str(i) for i in range(max(self.tokens) + 1)]
+        self.names = {self.texts[i]: t for i, t in self.tokens.items()}
         self.counts: dict[str, int] = {}
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
@@ -141,71 +165,83 @@ class Encoder:
             out += self.merge(ids)
         return out
 
-    def plain(self, text: str) -> list[int]:
-        """Ids of a text without special tokens."""
-        if not text.isascii() and max(text) >= OLD_LETTERS:
-            return [i for piece, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text)) for i in self.word(piece)]
+    def coded(self, symbols: str) -> str:
+        """Ids, joined by single spaces, of a word written in byte symbols."""
+        texts = self.texts
+        return " ".join([texts[i] for i in self.word(symbols)])
+
+    def symbols(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isprintable() else "".join([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")])
+
+    def found(self, text: str) -> list[str]:
+        """The words that the pattern finds in a text below OLD_LETTERS, normalised."""
         text = unicodedata.normalize("NFC", text)
         lower = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()  # no final form by context
         if lower.isalpha():
-            found = [lower]
-        elif lower[-1:] in SIGNS and lower[:-1].isalpha():
-            found = [lower[:-1], lower[-1:]]
+            return [lower]
+        if lower[-1:] in SIGNS and lower[:-1].isalpha():
+            return [lower[:-1], lower[-1:]]
+        return self.pattern.findall(lower)
+
+    def piece(self, piece: str) -> str:
+        """Ids of a word that found() has cut out. Remembered where the word as a text of its own is this word again."""
+        if len(piece) > CACHE_CHARS or not (piece.isascii() or (unicodedata.is_normalized("NFC", piece) and piece.lower() == piece)):
+            return self.coded(self.symbols(piece))
+        ids = self.memo.get(piece) or self.memo.old.get(piece)
+        if ids is None:
+            ids = self.coded(self.symbols(piece))
+            self.memo.keep(piece, ids)
+        return ids
+
+    def plain(self, text: str) -> str:
+        """Ids of a text without special tokens."""
+        if not text.isascii() and max(text) >= OLD_LETTERS:
+            return " ".join([self.coded(piece) for piece, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))])
+        return " ".join([self.piece(x) for x in self.found(text)])
+
+    def chunk(self, text: str) -> str:
+        """Ids of a stretch without white space, which the caller remembers."""
+        if text.isascii() or max(text) < OLD_LETTERS:
+            found = self.found(text)
+            return self.coded(self.symbols(text)) if found == [text] else " ".join([self.piece(x) for x in found])
+        return self.plain(text)
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """Ids of a whole text, some words at a time; spaces may be too many."""
+        if self.cut and "<" in text and self.cut.search(text):
+            for x in self.cut.split(text):
+                if x in self.special:
+                    yield self.texts[self.special[x]]
+                else:
+                    yield from self.stretches(x)
+        elif ODD_SPACE.search(text):
+            yield self.plain(text)
         else:
-            found = self.pattern.findall(lower)
-        out, pieces = [], self.pieces
-        for piece in found:
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = self.word(piece if piece.isascii() and piece.isprintable() else "".join([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]))
-                if len(piece) <= CACHE_CHARS:
-                    if len(pieces) >= CACHE_BYTES // 300:
-                        pieces.clear()
-                    pieces[piece] = ids
-            out += ids
-        return out
-
-    def chunk(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, ids and tokens, joined by single spaces, of a stretch without white space."""
-        found = self.old.get(text)
-        if found is None:
-            ids = self.plain(text)
-            found = len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
-            if len(text) > CACHE_CHARS:
-                return found
-        if self.taken >= CACHE_BYTES:
-            self.young, self.old, self.taken = {}, self.young, 0
-        self.young[text] = found
-        self.taken += 400 + len(text) + len(found[1]) + 2 * len(found[2])
-        return found
+            words, get = text.split(), self.memo.__getitem__
+            for i in range(0, len(words), STRETCH):
+                yield " ".join(map(get, words[i : i + STRETCH]))
 
     def joined(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids and the decoded text of a whole text."""
-        if self.cut and "<" in text and self.cut.search(text):
-            parts = [(1, str(self.special[x]), x) if x in self.special else self.joined(x) for x in self.cut.split(text)]
-        elif ODD_SPACE.search(text):
-            ids = self.plain(text)
-            return len(ids), " ".join(map(str, ids)), self.decode(ids)
-        else:
-            parts = [self.young.get(c) or self.chunk(c) for c in text.split()]
-        if not parts:
-            return 0, "", ""
-        if any(not p[0] for p in parts):
-            parts = [p for p in parts if p[0]]
-        n, ids, tokens = zip(*parts) if parts else ((), (), ())
-        return sum(n), " ".join(ids), " ".join(tokens)
+        total, ids, tokens, names = 0, [], [], self.names.__getitem__
+        for found in self.stretches(text):
+            if parts := found.split():
+                total += len(parts)
+                ids.append(" ".join(parts) if "  " in found or found[0] == " " or found[-1] == " " else found)
+                tokens.append(" ".join(map(names, parts)))
+        return total, " ".join(ids), " ".join(tokens)
 
     def count(self, text: str) -> int:
         """Number of ids of a whole text; only counts are remembered."""
         if self.cut and "<" in text and self.cut.search(text):
             return sum(1 if x in self.special else self.count(x) for x in self.cut.split(text))
         if ODD_SPACE.search(text):
-            return len(self.plain(text))
+            return len(self.plain(text).split())
         total, counts = 0, self.counts
         for c in text.split():
             n = counts.get(c)
             if n is None:
-                n = len(self.plain(c))
+                n = len(self.plain(c).split())
                 if len(c) <= CACHE_CHARS:
                     if len(counts) >= CACHE_BYTES // 200:
                         counts.clear()

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -158,6 +159,26 @@ def test_bpe_equals_the_library(spark, odd, library):
     assert bpe.digests(odd.limit(0), bpe.default_path()).count() == 0
 
 
+def test_remembered_words_are_small_and_change_nothing(monkeypatch, library):
+    rnd, path = random.Random(2), bpe.default_path()
+    words = ["".join(rnd.choice("abdéehinorstÀ") for _ in range(rnd.randint(6, 12))) + rnd.choice(["", ".", "'s", "-x"]) for _ in range(20_000)]
+    enc = bpe.Encoder(path)
+    tracemalloc.start()
+    first = [enc.joined(w) for w in words]
+    held = tracemalloc.get_traced_memory()[0]
+    del first
+    before = held - tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held - before < 350 * len(words)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    text = " ".join(words[:2000] + words[:500] + [w.upper() for w in words[:500]])
+    want = library.encode(text, add_special_tokens=False).ids
+    for stretch in (7, 1_000_000):
+        monkeypatch.setattr(bpe, "STRETCH", stretch)
+        got = bpe.Encoder(path).joined(text)
+        assert got == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
+
+
 def test_fragments_are_certain_cuts():
     enc = bpe.encoder(bpe.default_path())
     for word in ("hello", "zqxjkqz", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "internationalization"):

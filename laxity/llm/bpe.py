@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import by_bytes, in_batches, table
+from .common import by_bytes, in_batches, kept, table
 
 #: Bytes, roughly, that each of two generations of remembered words takes; the older one goes when the younger is full.
 CACHE_BYTES = 32 << 20
@@ -257,14 +257,9 @@ class Encoder:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each file in a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("bpe", path), lambda: Encoder(path))
 
 
 def mapped(docs: DataFrame, path: str, schema: str, fn) -> DataFrame:

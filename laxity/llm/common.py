@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,13 @@ def compact(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df, made by a task for each shuffle partition or file, dealt to an eighth of them, and one for each core at least, before it is written: for tables of
+    unknown size that cost more to make than to shuffle. The tasks that make it stay as many as they are."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, partitions(spark) // 8))
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table made by stored() when nothing will read it again."""
     spark = df.sparkSession
@@ -87,6 +96,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a Python worker keeps from one task to the next: things of one operator at a time.
+_kept: dict = {}
+
+
+def release() -> None:
+    """Gives freed memory back to the system; an idle worker counts to its executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def kept(key: tuple, make: Callable):
+    """make(), once in a Python worker, until another operator's tasks come."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        release()
+
+
+def alone(run: Callable) -> Callable:
+    """run over batches in a worker that has dropped what other operators kept, and gives back what it has freed at the end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        forget()
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """batch in slices that end where the texts of the column reach about `most` bytes; none of an empty batch."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

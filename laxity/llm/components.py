@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_stored, stored
+from .common import BROADCAST_ROWS, compact, drop_stored, gathered, stored
 
 SALTS = 64
 
@@ -22,7 +22,7 @@ def _least(edges: DataFrame, small: bool) -> DataFrame:
 
 def components(edges: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """edges (a, b), any order -> node, root: the smallest node of its component. Nodes without edges do not occur."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = stored(gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), "edges")
     measure = F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")
     sign = tuple(now.agg(*measure).first())
     while True:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, small).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         found = _least(large, small)
-        after = stored(found.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), "small")
+        after = found.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        after = stored(compact(after, 2 * sign[0]), "small")
         seen = tuple(after.agg(*measure).first())
         drop_stored(now)
         now = after

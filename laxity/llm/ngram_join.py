@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_stored, in_batches, packed, partitions, stored, table
+from .common import alone, broadcast_if_small, compact, drop_stored, gathered, in_batches, packed, partitions, stored, table
 from .components import components
 
 WORDS = 5
@@ -399,7 +399,7 @@ def _sent(docs: DataFrame, members: DataFrame, targets: str, most: int) -> DataF
                         yield pa.RecordBatch.from_arrays([some, pa.array([cls] * len(some), pa.binary()), pa.array([data] * len(some), pa.binary())], names=["to", "cls", "set"])
 
     rows = docs.select("doc_id", "text").join(broadcast_if_small(members, members.count(), most), F.col("doc_id").eqNullSafe(F.col("_did")))
-    return rows.select("text", "cls", "to").mapInArrow(run, f"to {targets}, cls binary, set binary").select("to.*", "cls", "set")
+    return rows.select("text", "cls", "to").mapInArrow(alone(run), f"to {targets}, cls binary, set binary").select("to.*", "cls", "set")
 
 
 def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> DataFrame:
@@ -407,9 +407,10 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     spark = docs.sparkSession
     n_parts = partitions(spark)
     frame = in_batches(docs).select("doc_id", "text")
-    profile = stored(frame.mapInArrow(_profile, "did long, cls binary, n long, th binary, counts binary, part int, sums binary"), "profile")
+    profile = stored(gathered(frame.mapInArrow(alone(_profile), "did long, cls binary, n long, th binary, counts binary, part int, sums binary")), "profile")
     rows = profile.where("part is null").select("did", "cls", "n", "th", "counts")
-    parts = profile.where("part is not null").select("part", "sums").repartition(min(PARTS, n_parts), "part").mapInArrow(_summed, "part int, level binary, squares double, total double").collect()
+    most_rows = profile.count()
+    parts = profile.where("part is not null").select("part", "sums").repartition(min(PARTS, n_parts), "part").mapInArrow(alone(_summed), "part int, level binary, squares double, total double").collect()
     levels, step = np.zeros(SLOTS, np.uint8), SLOTS // PARTS  # of fixed size, whatever the corpus
     for r in parts:
         levels[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["level"], np.uint8)
@@ -440,10 +441,11 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (sig, c1)], names=["sig", "c1"])
 
-    pairs = docs.select("text").mapInArrow(post, "sig long, c1 long").repartition(n_parts, "sig").sortWithinPartitions("sig", "c1")
-    lists = stored(pairs.mapInArrow(_lists(block), "sig long, c1 long, own int, blocks int"), "lists")
+    pairs = docs.select("text").mapInArrow(alone(post), "sig long, c1 long").repartition(n_parts, "sig").sortWithinPartitions("sig", "c1")
+    lists = stored(gathered(pairs.mapInArrow(alone(_lists(block)), "sig long, c1 long, own int, blocks int")), "lists")
     # Copies of a class are alike in counts and size; c1 is the head of cls, and classes that share it are both taken.
-    classes = stored(rows.where("cls is not null").groupBy("cls", "n", "counts").agg(F.min(F.struct(F.col("did").isNull().alias("none"), "did", "th")).alias("first")), "classes")
+    classes = rows.where("cls is not null").groupBy("cls", "n", "counts").agg(F.min(F.struct(F.col("did").isNull().alias("none"), "did", "th")).alias("first"))
+    classes = stored(compact(classes, most_rows), "classes")
     head = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
     several = lists.where("c1 is null").select(F.col("sig").alias("_sig"), F.col("blocks").alias("_blocks"))
     listed = lists.where("c1 is not null").join(broadcast_if_small(several, several.count()), F.col("sig") == F.col("_sig"), "left")
@@ -451,7 +453,7 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     listed = listed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     listed = listed.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "counts")
     listed = listed.repartition(n_parts, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-    ties = stored(listed.mapInArrow(_tied, "a binary, b binary, far double"), "ties")
+    ties = stored(gathered(listed.mapInArrow(alone(_tied), "a binary, b binary, far double")), "ties")
     drop_stored(lists)
     clusters = components(ties.select("a", "b"))
 
@@ -459,20 +461,21 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
     nearest = both.groupBy("a").agg(F.min(F.struct("far", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
     nearest = nearest.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("a").alias("cls")).select("cls", F.when(F.col("cls") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("hub"))
-    nearest = stored(nearest, "nearest")
+    nearest = stored(compact(nearest, most_rows), "nearest")
     hubs = nearest.groupBy(F.col("hub").alias("_hub")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
     spokes = nearest.join(hubs, F.col("hub") == F.col("_hub")).select("cls", "hub", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
     own = hubs.select(F.col("_hub").alias("cls"), F.col("_hub").alias("hub"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"))
     to = spokes.unionByName(own).groupBy(F.col("cls").alias("_cls")).agg(F.collect_list(F.struct("hub", "salt", "kind")).alias("to"))
     home = classes.select("cls", "n", F.col("first.did").alias("_did"))
-    members = stored(home.join(to, F.col("cls") == F.col("_cls")).select("cls", "_did", "to"), "members")
+    members = stored(compact(home.join(to, F.col("cls") == F.col("_cls")).select("cls", "_did", "to"), most_rows), "members")
     met = _sent(docs, members, "struct<hub: binary, salt: int, kind: int>", most)
     met = met.repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-    verified = components(met.mapInArrow(_verified, "a binary, b binary"))
+    verified = components(met.mapInArrow(alone(_verified), "a binary, b binary"))
 
     # The parts of each cluster; where there are several, the largest and the others.
     at = home.join(clusters.select("node", F.col("root").alias("cluster")), F.col("cls") == F.col("node")).select("cls", "n", "_did", "cluster")
-    at = stored(at.join(verified, F.col("cls") == F.col("node"), "left").select("cls", "n", "_did", "cluster", F.coalesce("root", "cls").alias("own_part")), "parts")
+    at = at.join(verified, F.col("cls") == F.col("node"), "left").select("cls", "n", "_did", "cluster", F.coalesce("root", "cls").alias("own_part"))
+    at = stored(compact(at, most_rows), "parts")
     sums = at.groupBy("cluster", "own_part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
     whole = sums.groupBy(F.col("cluster").alias("_cluster")).agg(F.max(F.struct("sets", "size", "own_part")).alias("top"), F.sum("sets").alias("sets"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("several"))
     blocks = lambda sets, size: F.greatest(F.ceil(sets / block), F.ceil(size * 8 / BLOCK_BYTES)).cast("int")
@@ -480,10 +483,10 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     left = at.join(whole, F.col("cluster") == F.col("_cluster")).withColumn("inside", F.col("own_part") == F.col("largest"))
     left = left.withColumn("own", F.expr("if(inside, pmod(xxhash64(cls), l), l + pmod(xxhash64(cls), r))").cast("int"))
     left = left.withColumn("others", F.expr("sequence(if(inside, l, 0), l + r - 1)"))
-    left = stored(left.select("cls", "_did", F.expr("transform(others, o -> named_struct('cluster', cluster, 'lo', least(own, o), 'hi', greatest(own, o), 'own', own, 'part', own_part))").alias("to")), "left")
+    left = stored(gathered(left.select("cls", "_did", F.expr("transform(others, o -> named_struct('cluster', cluster, 'lo', least(own, o), 'hi', greatest(own, o), 'own', own, 'part', own_part))").alias("to"))), "left")
     met = _sent(docs, left, "struct<cluster: binary, lo: int, hi: int, own: int, part: binary>", most)
     met = met.repartition(n_parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    more = met.mapInArrow(_joined, "a binary, b binary")
+    more = met.mapInArrow(alone(_joined), "a binary, b binary")
     part_of = at.select(F.col("cls").alias("_c"), F.col("own_part").alias("_p"))
     for c in ("a", "b"):
         more = more.join(part_of, F.col(c) == F.col("_c")).select(*[F.col("_p").alias(x) if x == c else x for x in ("a", "b")])
@@ -491,9 +494,9 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
     roots = at.join(joined, F.col("own_part") == F.col("node"), "left").select(F.col("cls").alias("node"), F.coalesce("root", "own_part").alias("root"))
 
     at = classes.select("cls", "first").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
-    at = stored(at, "at")
+    at = stored(compact(at, most_rows), "at")
     firsts = at.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("best"))
-    at = stored(at.join(firsts, F.col("root") == F.col("_root")).select(F.col("cls").alias("_cls"), "best"), "groups")
+    at = stored(gathered(at.join(firsts, F.col("root") == F.col("_root")).select(F.col("cls").alias("_cls"), "best")), "groups")
     for gone in (ties, clusters, nearest, members, verified, left, joined, classes):
         drop_stored(gone)
     full = rows.where("cls is not null").join(at, F.col("cls") == F.col("_cls"))
@@ -503,7 +506,7 @@ def near_groups(docs: DataFrame, block: int = BLOCK, most: int = MEMBERS) -> Dat
 
 def drop_near(docs: DataFrame, bound: int = MEMBERS) -> DataFrame:
     """docs, with all their columns, without the documents that another one of their group stands for."""
-    away = stored(near_groups(docs).where(~F.col("first")).select(F.col("did").alias("_did"), F.col("th").alias("_th")).distinct(), "away")
+    away = stored(gathered(near_groups(docs).where(~F.col("first")).select(F.col("did").alias("_did"), F.col("th").alias("_th")).distinct()), "away")
     rows = packed(docs, text_key(F.col("text")))
     return rows.join(broadcast_if_small(away, away.count(), bound), F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_key") == F.col("_th")), "left_anti").select("_row.*")
 

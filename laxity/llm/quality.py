@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, in_batches, stored, table
+from .common import alone, drop_stored, forget, in_batches, release, stored, table
 
 SAMPLE = 1500
 DICT_BYTES = 128 * 1024
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             parts = [slices(t, most[y]) for y, t in zip(b.column(1).to_pylist(), _bytes(b.column(2)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.list_(pa.binary()))], names=["_id", "_label", "parts"])
 
-    rows = sorted(sample.mapInArrow(cut, "_id long, _label int, parts array<binary>").collect(), key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"]))
+    rows = sorted(sample.mapInArrow(alone(cut), "_id long, _label int, parts array<binary>").collect(), key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"]))
     half = halves([r["_label"] for r in rows])
     models = dictionaries([(r["_label"], [bytes(p) for p in r["parts"]]) for r in rows], half)
     side = {r["_id"]: 1 - h for r, h in zip(rows, half)}  # at most 2 * SAMPLE entries
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             found = [models[side[i]].difference(t) for i, t in zip(b.column(0).to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(map(len, texts), pa.int64()), b.column(1)], names=["difference", "bytes", "_label"])
 
-    met = sorted(tuple(r) for r in sample.mapInArrow(compare, "difference long, bytes long, _label int").collect())
+    met = sorted(tuple(r) for r in sample.mapInArrow(alone(compare), "difference long, bytes long, _label int").collect())
     drop_stored(sample)
     return fitted(models[2], met, n.get(1, 0) / max(1, sum(n.values())) if n else None)
 
@@ -192,8 +192,10 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         for texts in batches:
             yield pa.array(model.score(_bytes(texts)), pa.float64())
+        release()
 
     return scored(text)
 

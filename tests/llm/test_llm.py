@@ -2,13 +2,14 @@ import hashlib
 import random
 import re
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from laxity.llm import bpe, chat, components, decontaminate, exact_dedup, lm_score, ngram_join, pii, quality, queries, sharding, token_counts
+from laxity.llm import bpe, chat, common, components, decontaminate, exact_dedup, lm_score, ngram_join, pii, quality, queries, sharding, token_counts
 
 from ..oracle import database, same
 
@@ -102,6 +103,21 @@ def plain_hits(text, items, window=10):
     return len(w), len(hit), found
 
 
+def test_rounds_of_components_make_few_files(spark, monkeypatch):
+    monkeypatch.setattr(components, "stored", lambda df, name, own=components.stored: files.setdefault((name, len(files)), own(df, name)))
+    monkeypatch.setattr(components, "drop_stored", lambda df: None)
+    files, edges = {}, spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    for key, value in (held := {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}).items():
+        held[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
+    try:
+        assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in range(201)}
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    assert max(len(df.inputFiles()) for (name, _), df in files.items() if name == "small") <= spark.sparkContext.defaultParallelism
+
+
 def test_a_small_benchmark_makes_few_files(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "stored", lambda df, name, own=decontaminate.stored: files.setdefault(name, own(df, name)))
     files, bench = {}, spark.createDataFrame([(i, " ".join(f"w{i * k}" for k in range(30))) for i in range(50)], "item_id long, text string")
@@ -179,6 +195,13 @@ def test_remembered_words_are_small_and_change_nothing(monkeypatch, library):
         assert got == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
 
 
+def test_a_worker_drops_what_another_operator_kept():
+    enc = weakref.ref(bpe.encoder(bpe.default_path()))
+    enc().joined("some words")
+    assert bpe.encoder(bpe.default_path()) is enc()
+    assert list(common.alone(lambda batches: batches)(iter([1, 2]))) == [1, 2] and enc() is None
+
+
 def test_fragments_are_certain_cuts():
     enc = bpe.encoder(bpe.default_path())
     for word in ("hello", "zqxjkqz", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "internationalization"):
